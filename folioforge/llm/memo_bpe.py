@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -25,29 +26,39 @@ _NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _OUTSIDE = re.compile("[^\\t\\n\\r" + re.escape("".join(_LATIN)) + "]")
 
 
+#: A byte -> its character in the byte-level alphabet: printable Latin-1 stands for itself, the others follow at U+0100.
+_SELF = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
 class _Memo(dict):
-    """pre-token -> its ids as little-endian uint32 bytes; misses are kept in ``missing``."""
+    """pre-token -> its ids as little-endian bytes; an unseen one goes to the tokenizer's model."""
 
-    def __init__(self) -> None:
+    def __init__(self, model, most: int, kind: str) -> None:
         super().__init__()
-        self.missing: dict[str, None] = {}
+        self.tokenize, self.most, self.kind = model.tokenize, most, kind
 
     def __missing__(self, piece: str) -> bytes:
-        self.missing[piece] = None
-        return b""
+        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
+        out = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        if len(self) < self.most:
+            self[piece] = out
+        return out
 
 
 class MemoEncoder:
-    """``encode(text)`` returns the ids of the whole text as little-endian uint32 bytes."""
+    """``encode(text)`` returns the ids of the whole text as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, max_entries: int = 600_000) -> None:
+    def __init__(self, path: str, max_entries: int = 600_000, width: int = 4) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_entries = max_entries
-        self.memo = _Memo()
+        if self.tokenizer.get_vocab_size() > 1 << 8 * width:
+            raise ValueError(f"the vocabulary's ids do not fit {width} bytes")
+        self.kind, self.dtype = ("H", "<u2") if width == 2 else ("I", "<u4")
+        self.memo = _Memo(self.tokenizer.model, max_entries, self.kind)
         self.lower = False
         with open(path, encoding="utf-8") as f:
             self.split = self._split(json.load(f))
@@ -71,23 +82,5 @@ class MemoEncoder:
 
     def encode(self, text: str) -> bytes:
         if self.split is None or _OUTSIDE.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.split(text.lower() if self.lower else text)
-        memo = self.memo
-        out = b"".join(map(memo.__getitem__, pieces))
-        if memo.missing:
-            fresh = self._encode(list(memo.missing))
-            memo.missing = {}
-            if len(memo) + len(fresh) <= self.max_entries:
-                memo.update(fresh)
-                out = b"".join(map(memo.__getitem__, pieces))
-            else:
-                out = b"".join([memo[p] if p in memo else fresh[p] for p in pieces])
-        return out
-
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids)
-        ends = np.searchsorted(of, np.arange(len(pieces)), "right") * 4
-        data = ids.tobytes()
-        return {p: data[a:b] for p, a, b in zip(pieces, [0, *ends[:-1].tolist()], ends.tolist())}
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self.memo.__getitem__, self.split(text.lower() if self.lower else text)))
