@@ -5,8 +5,9 @@ each a binary shard; Spark's committer keeps one attempt of every task, so a los
 half shard.  A shard is
 
     magic "FFZD1", then little-endian: uint32 part, uint64 tokens of the part before it, uint32 n,
-    32 bytes SHA-256 of the dictionary, int64[n] ids, uint8[n] id is null, uint32[n] token counts,
-    uint64[n + 1] offsets, then n zstandard frames
+    uint32 bytes an id takes (2 if the vocabulary fits, else 4), 32 bytes SHA-256 of the dictionary,
+    int64[n] document ids, uint8[n] id is null, uint32[n] token counts, uint64[n + 1] offsets, then
+    n zstandard frames of token ids
 
 and one frame of a shard can be read without the others.  The dictionary is trained on serialized id
 arrays of at most ``DICT_DOCS`` documents (those of the lowest hashed ids), ``DICT_BYTES`` of each at
@@ -33,7 +34,7 @@ from .common import no_null, pieces, stage
 from .memo_bpe import MemoEncoder
 
 MAGIC = b"FFZD1"
-HEAD = "<5sIQI32s"
+HEAD = "<5sIQII32s"
 DICT_DOCS, DICT_BYTES, DICT_SIZE = 512, 16 << 10, 64 << 10
 SHARD_BYTES = 4 << 20
 
@@ -56,23 +57,32 @@ def train_dictionary(src: DataFrame, encoder: tuple, end_id: int) -> bytes:
     import zstandard
 
     enc = MemoEncoder(*encoder)
-    few = src.select(F.substring("text", 1, DICT_BYTES).alias("text"), F.xxhash64("key").alias("h")).orderBy("h", "text").limit(DICT_DOCS)
-    samples = [(enc.encode(r["text"]) + struct.pack("<I", end_id))[:DICT_BYTES] for r in few.collect()]
+    chosen = src.select(F.xxhash64("key").alias("h")).orderBy("h").limit(DICT_DOCS)  # hashes alone, then the chosen ones' texts
+    rows = src.withColumn("h", F.xxhash64("key")).join(F.broadcast(chosen.distinct()), "h", "left_semi")
+    few = rows.select(F.substring("text", 1, DICT_BYTES).alias("text")).orderBy("text").limit(DICT_DOCS)
+    samples = [(enc.encode(r["text"]) + end_id.to_bytes(encoder[2], "little"))[:DICT_BYTES] for r in few.collect()]
     try:
         return zstandard.train_dictionary(DICT_SIZE, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: their content itself serves as the dictionary
         return b"".join(samples)[:DICT_SIZE]
 
 
+def _width(vocabulary: str) -> int:
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else 4
+
+
 def _writer(encoder: tuple, end_id: int, dictionary: bytes):
-    digest, end = hashlib.sha256(dictionary).digest(), struct.pack("<I", end_id)
+    digest, width = hashlib.sha256(dictionary).digest(), encoder[2]
+    end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        enc, z = MemoEncoder(*encoder), zstandard.ZstdCompressor(level=3, dict_data=_zdict(dictionary), write_content_size=True)
+        enc, z = MemoEncoder(*encoder), zstandard.ZstdCompressor(level=1, dict_data=_zdict(dictionary), write_content_size=True)
         keys: list = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -83,7 +93,7 @@ def _writer(encoder: tuple, end_id: int, dictionary: bytes):
             where = np.zeros(n + 1, "<u8")
             np.cumsum([len(x) for x in frames], out=where[1:])
             blob = b"".join([
-                struct.pack(HEAD, MAGIC, part, before, n, digest), np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], "u1").tobytes(),
+                struct.pack(HEAD, MAGIC, part, before, n, width, digest), np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([k is None for k in keys], "u1").tobytes(),
                 np.array(counts, "<u4").tobytes(), where.tobytes(), *frames,
             ])
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["part", "tokens", "n_docs", "shard"])
@@ -92,7 +102,7 @@ def _writer(encoder: tuple, end_id: int, dictionary: bytes):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 ids = enc.encode(text) + end
                 keys.append(key)
-                counts.append(len(ids) >> 2)
+                counts.append(len(ids) // width)
                 frames.append(z.compress(ids))
                 size += len(frames[-1])
                 if size >= SHARD_BYTES:
@@ -106,7 +116,7 @@ def _writer(encoder: tuple, end_id: int, dictionary: bytes):
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id", text: str = "text", memo: int = 600_000) -> Store:
-    src, encoder = no_null(docs, key, text), (vocabulary, memo)
+    src, encoder = no_null(docs, key, text), (vocabulary, memo, _width(vocabulary))
     dictionary = train_dictionary(src, encoder, end_id)
     dealt = src.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
     shards = stage(dealt.mapInArrow(_writer(encoder, end_id, dictionary), "part bigint, tokens bigint, n_docs bigint, shard binary"), "tokens")
@@ -118,8 +128,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "
 
 
 def open_shard(blob: bytes, dictionary: bytes):
-    """part, tokens of the part before the shard, ids, token counts, frame offsets, the frames' bytes."""
-    magic, part, before, n, digest = struct.unpack_from(HEAD, blob)
+    """part, tokens of the part before the shard, the ids' dtype, document ids, token counts, frame offsets, the frames' bytes."""
+    magic, part, before, n, width, digest = struct.unpack_from(HEAD, blob)
     if magic != MAGIC or digest != hashlib.sha256(dictionary).digest():
         raise ValueError("not a shard written with this dictionary")
     at = struct.calcsize(HEAD)
@@ -128,15 +138,15 @@ def open_shard(blob: bytes, dictionary: bytes):
         cols.append(np.frombuffer(blob, kind, many, at))
         at += cols[-1].nbytes
     keys = [None if null else k for k, null in zip(cols[0].tolist(), cols[1].tolist())]
-    return part, before, keys, cols[2].astype(np.int64), cols[3].astype(np.int64), memoryview(blob)[at:]
+    return part, before, f"<u{width}", keys, cols[2].astype(np.int64), cols[3].astype(np.int64), memoryview(blob)[at:]
 
 
 def read_document(blob: bytes, dictionary: bytes, index: int) -> np.ndarray:
     """The ids of one document of a shard; the others stay compressed."""
     import zstandard
 
-    _, _, _, _, where, frames = open_shard(blob, dictionary)
-    return np.frombuffer(zstandard.ZstdDecompressor(dict_data=_zdict(dictionary)).decompress(frames[where[index] : where[index + 1]]), "<u4")
+    _, _, kind, _, _, where, frames = open_shard(blob, dictionary)
+    return np.frombuffer(zstandard.ZstdDecompressor(dict_data=_zdict(dictionary)).decompress(frames[where[index] : where[index + 1]]), kind)
 
 
 def read_tokens(store: Store) -> DataFrame:
@@ -149,11 +159,11 @@ def read_tokens(store: Store) -> DataFrame:
         z = zstandard.ZstdDecompressor(dict_data=_zdict(dictionary))
         for batch in batches:
             for i in range(batch.num_rows):
-                part, before, keys, counts, where, frames = open_shard(batch.column(0)[i].as_py(), dictionary)
+                part, before, kind, keys, counts, where, frames = open_shard(batch.column(0)[i].as_py(), dictionary)
                 start = base[part] + before + np.concatenate(([0], np.cumsum(counts)[:-1]))
                 for a in range(0, len(keys), 256):
                     b = min(a + 256, len(keys))
-                    ids = [z.decompress(frames[where[k] : where[k + 1]]) for k in range(a, b)]
+                    ids = [np.frombuffer(z.decompress(frames[where[k] : where[k + 1]]), kind).astype("<u4").tobytes() for k in range(a, b)]
                     if [len(x) >> 2 for x in ids] != counts[a:b].tolist():
                         raise ValueError("a frame differs from the shard's token counts")
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(start[a:b], pa.int64()), pa.array(counts[a:b], pa.int64()), pa.array(ids, pa.binary())], ["key", "start", "n_tokens", "ids"])
