@@ -39,7 +39,11 @@ class _Memo(dict):
         self.tokenize, self.most, self.kind = model.tokenize, most, kind
 
     def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", _ALPHABET[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(_ALPHABET)
+        ids = [t.id for t in self.tokenize(letters)]
         out = struct.pack(f"<{len(ids)}{self.kind}", *ids)
         if len(self) < self.most:
             self[piece] = out
