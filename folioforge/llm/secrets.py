@@ -72,12 +72,10 @@ def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
     one = src.select("row", "key", F.explode_outer(found).alias("m")).select("row", "key", "m.*")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    none = one.where("kind is null").select("row", "key", "kind", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"))
     stop = F.sum(F.col("gap") + F.col("n")).over(before)
-    some = one.where("kind is not null").withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("n"))
-    # a row whose matches all fail still has to be there
-    some = some.select("row", "key", F.when(F.col("ok"), F.col("kind")).alias("kind"), F.when(F.col("ok"), F.col("start")).alias("start"), F.when(F.col("ok"), F.col("stop")).alias("stop"))
-    return stage(none.unionByName(some), "parts")
+    ok = F.col("ok")  # a row whose matches all fail, or that has none, still has to be there
+    some = one.withColumn("stop", stop).select("row", "key", F.when(ok, F.col("kind")).alias("kind"), F.when(ok, F.col("stop") - F.col("n")).alias("start"), F.when(ok, F.col("stop")).alias("stop"))
+    return stage(some, "parts")
 
 
 def _role(kind: str) -> Column:
