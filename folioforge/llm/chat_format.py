@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return text if "\\" not in text else re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
 def render(turns: list[tuple[str, str]], learn: str = "assistant") -> tuple[str, list[int], list[int]]:
@@ -73,15 +74,13 @@ def mask(starts: list[int], ends: list[int], offsets: np.ndarray) -> np.ndarray:
 
 def masked_text(formatted: str, offsets: np.ndarray, under: np.ndarray) -> str:
     """What the tokens under the mask cover, each place once, unescaped run by run."""
-    out, spans = [], []
-    for a, b in offsets[under].tolist():
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
-    for a, b in spans:
-        out.append(unescape(formatted[a:b]))
-    return "".join(out)
+    at = offsets[under]
+    if not len(at):
+        return ""
+    reach = np.maximum.accumulate(at[:, 1])
+    first = np.flatnonzero(np.concatenate(([True], at[1:, 0] > reach[:-1])))
+    ends = reach[np.append(first[1:] - 1, len(at) - 1)]
+    return "".join(unescape(formatted[a:b]) for a, b in zip(at[first, 0].tolist(), ends.tolist()))
 
 
 _SCHEMA = pa.schema([("key", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("loss", pa.list_(pa.bool_()))])
@@ -110,8 +109,8 @@ def format_conversations(rows: DataFrame, vocabulary: str, key: str = "conv_id",
         for k, turns in whole(batches):
             formatted, starts, ends = render(turns, learn)
             e = t.encode(formatted, add_special_tokens=False)
-            offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-            for c, v in zip(cols, (k, formatted, e.ids, offsets[:, 0], offsets[:, 1], mask(starts, ends, offsets))):
+            offsets = np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
+            for c, v in zip(cols, (k, formatted, np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1], mask(starts, ends, offsets))):
                 c.append(v)
             size += len(formatted)
             if size >= batch_chars:
@@ -131,11 +130,12 @@ def digests(formatted: DataFrame) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             rows = []
-            for x in batch.to_pylist():
-                turns = read_back(x["formatted"])
-                offsets = np.stack([np.array(x["starts"], np.int64), np.array(x["ends"], np.int64)], 1)
-                text = masked_text(x["formatted"], offsets, np.array(x["loss"], bool))
-                rows.append((x["key"], len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(text), sha(text), len(x["formatted"])))
+            of, loss = batch.column("starts").offsets.to_numpy(), batch.column("loss").values.to_numpy(zero_copy_only=False)
+            places = np.stack([batch.column(c).values.to_numpy() for c in ("starts", "ends")], 1)
+            for key, text, a, b in zip(batch.column("key").to_pylist(), batch.column("formatted").to_pylist(), of[:-1].tolist(), of[1:].tolist()):
+                turns = read_back(text)
+                learned = masked_text(text, places[a:b], loss[a:b])
+                rows.append((key, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)))
             names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
