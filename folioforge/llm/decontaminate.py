@@ -9,7 +9,7 @@ Only words of the benchmark can match, and only runs of at least the shortest wi
 hold a window, so the array leaves the other positions out; nothing that could match is lost.
 
 Defined cases: a null or empty text, or one without words, has n_words 0, no hits and is clean.  A
-null or wordless item has no window.  Repeated items with one id count once; repeated documents are
+null or wordless item has no window, one without an id is left out.  Repeated items with one id count once; repeated documents are
 judged each on its own.  An empty benchmark leaves every document clean, an empty table gives an
 empty result.  Further columns of either table are not read.  Texts are processed whole.
 
@@ -167,7 +167,9 @@ def shard(array: pa.Array, items: Items):
         spans[r].append({"start": int(a - first[r]), "end": int(b - first[r])})
     pair = np.unique(row[at] * len(items.names) + items.item[q])
     for x in pair.tolist():
-        found[x // len(items.names)].append(items.names[x % len(items.names)])
+        name = items.names[x % len(items.names)]
+        if name not in found[x // len(items.names)]:
+            found[x // len(items.names)].append(name)
     use = best >= items.width
     q = np.repeat(np.flatnonzero(use), (best_hi - best_lo)[use])
     at = word_at[order[_flat(best_lo[use], best_hi[use])]]
@@ -218,7 +220,7 @@ def _matcher(rows: list[tuple], window: int):
 def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
     """The items in blocks of at most ``block_chars`` characters, one item at least, streamed by the driver."""
     out, size = [], 0
-    for key, value in no_null(benchmark, item, text).toLocalIterator():
+    for key, value in no_null(benchmark, item, text).where("key is not null").toLocalIterator():
         if out and size + len(value) > block_chars:
             yield out
             out, size = [], 0
