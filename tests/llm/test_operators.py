@@ -1,0 +1,468 @@
+"""The training-data operators against brute force, and their defined cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folioforge.llm import chat_format, decontaminate, golay, html_extract, licenses, maxent_lm, memo_bpe, packing, quality, queries, secrets, simhash, token_store
+from folioforge.llm.components import components
+
+from conftest import rows
+
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LONG = "wörd one Two three; " * 9000
+
+TEXTS = [
+    None, "", " \n\t ", "a", "One two three four five six seven eight nine ten eleven twelve thirteen fourteen.", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen!", LONG,
+    "Héllo wörld İstanbul 漢字 😀 ﬁ é <|endoftext|> 12½", "x\ny\nx\n\nx\n y", "license mit License, apache-license GNU General Public License v3", LONG,
+    "password = 'abcDEF12' token:abc AKIA" + "B" * 16 + " " + "0f" * 12, " ".join(f"w{i}" for i in range(300)), "\x00\x1c\x85 control ",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Null and repeated ids, null, empty and long texts, repeated rows, clashing further columns."""
+    data = [(i, t, "key", 1.5, [1]) for i, t in enumerate(TEXTS)] + [(None, "null id here", None, None, None), (None, None, None, None, None), (4, TEXTS[4], "key", 1.5, [1]), (3, "another text of id three", None, None, None)]
+    return spark.createDataFrame(data, "doc_id long, text string, key string, fp double, spans array<int>").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def words(t, by=SPACE, low=True):
+    t = (t or "").translate(LOW) if low else t or ""
+    return by.findall(t) if by is ALNUM else [w for w in by.split(t) if w]
+
+
+def all_rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+# -- 1 ----------------------------------------------------------------------------------------------
+
+ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First, line\n  here.<br><p>Second&nbsp;one, with <a href=x>a link</a>.</p><ul><li>item</ul></article>"
+
+
+@pytest.mark.parametrize("frame", [
+    "{}", "<html><body><nav><ul><li><a href=/>Home</a></ul></nav>{}<footer>&copy; x</footer>", "<body><header><p>Site, name, of, the, page</p></header><div class=sidebar><p>Side, bar, text, that, is, long, with, commas, in, it.</p></div>{}",
+    "<div id='cookie-notice'><p>We use cookies, as all do, for this, that and more.</p></div>{}<div class='comments'><p>Great, great, great post, thank, you, for, it, reader.</p></div>", "<script>var x = '<p>no, no, no</p>';</script><style>p{{}}</style>{}<form><p>Subscribe, now, to, it</p></form><aside>Ad</aside>",
+    "<!-- <p>comment, a, b, c</p> -->{}<div class='ad banner'><p>Buy, buy, buy, buy, buy, buy</p></div><div style='display: none'>hidden</div>",
+])
+def test_article_alone_is_kept(frame):
+    assert html_extract.main_text(frame.format(ARTICLE)) == "Title & more\nFirst, line here.\nSecond one, with a link.\nitem"
+
+
+def test_html_without_article():
+    body = "<div id=main><div class=menu><a href=a>A</a></div><h2>Head</h2><p>" + "Some text, quite long, with commas. " * 5 + "</p><p>Short.</p></div><div class=footer>f</div>"
+    got = html_extract.main_text(f"<html><body>{body}")
+    assert got.startswith("Head\nSome text, quite") and got.endswith("\nShort.") and "A" not in got.split("\n")
+
+
+@pytest.mark.parametrize("html", [None, "", "<", "<p", "</p></div>", "<!--", "<a href='", "&#xD800;&am&amp", "<div>" * 3000 + "deep", "<p>" * 3000, "<table><tr><td>x<tr><td>y", "plain", "<script>", "<title>x"])
+def test_broken_html(html):
+    assert isinstance(html_extract.main_text(html), str)
+
+
+def test_html_query(spark):
+    pages = spark.createDataFrame([(1, "u", ARTICLE, 3), (2, None, None, 3), (None, "u", "", None), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
+    got = html_extract.extract(pages).collect()
+    assert sorted(len(r["text"]) for r in got) == [0, 0, 60, 60] and html_extract.extract(pages.where("false")).count() == 0
+
+
+# -- 2, 5 -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memo_gives_the_tokenizers_ids(name):
+    for most in (2, 1000):
+        for width in (2, 4):
+            enc = memo_bpe.MemoEncoder(queries.vocabulary(name), most, width)
+            for t in [x for x in TEXTS if x is not None] * 2:
+                assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def expected_ids(text, name, end):
+    enc = memo_bpe.MemoEncoder(queries.vocabulary(name))
+    return enc.tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_packing(docs, none):
+    got = packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")).collect()
+    by_seq, by_doc = {}, {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["key"], []).append((r["doc_tokens"], r["start"], bytes(r["ids"])))
+        assert len(r["ids"]) == 4 * r["length"]
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for spans in by_seq.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    want = Counter()
+    for k, t in all_rows(docs):
+        want[k] += len(expected_ids(t, "byte_bpe_50k.json", 0))
+    assert {k: sum(len(x[2]) // 4 for x in v) for k, v in by_doc.items()} == dict(want)
+    long = sorted(x for x in by_doc[6])
+    assert b"".join(x[2] for x in long) == np.array(expected_ids(LONG, "byte_bpe_50k.json", 0), "<u4").tobytes()
+    assert packing.pack(none, queries.vocabulary("byte_bpe_50k.json")).count() == 0
+    full = packing.sequences(packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"))).collect()
+    assert all(len(r["ids"]) == 4096 or (n := len(r["ids"]) // 4) & (n - 1) == 0 for r in full)
+
+
+def test_packing_plan_is_close_and_whole():
+    rng = np.random.default_rng(3)
+    sizes = Counter(np.clip(rng.lognormal(5.5, 1, 3000).astype(int), 1, 1023).tolist())
+    made = packing.plan(dict(sizes))
+    used = Counter()
+    for times, pattern in made:
+        assert sum(k * n for k, n in pattern.items()) <= 1024
+        for k, n in pattern.items():
+            used[k] += n * times
+    assert used == sizes
+    assert sum(t for t, _ in made) * 1024 / sum(k * v for k, v in sizes.items()) < 1.01
+
+
+def test_fill_is_optimal():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        lengths = sorted(set(rng.integers(1, 30, 5).tolist()))
+        counts = rng.integers(1, 4, len(lengths)).tolist()
+        capacity = int(rng.integers(5, 60))
+        sums = {0}
+        for k, n in zip(lengths, counts):
+            sums = {s + k * i for s in sums for i in range(n + 1)}
+        got = packing.fill(lengths, counts, capacity)
+        assert sum(k * n for k, n in got.items()) == max(s for s in sums if s <= capacity)
+        assert all(n <= counts[lengths.index(k)] for k, n in got.items())
+
+
+def test_token_store(docs, none):
+    store = token_store.write_tokens(docs, queries.vocabulary("word_bpe_49k.json"))
+    got = sorted(((r["start"], r["key"], r["n_tokens"], bytes(r["ids"])) for r in token_store.read_tokens(store).collect()))
+    want, at = [], 0
+    for k, t in sorted(all_rows(docs), key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode())):
+        ids = expected_ids(t, "word_bpe_49k.json", 1)
+        want.append((at, k, len(ids), np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert got == want
+    shard = bytes(store.shards.first()["shard"])
+    _, _, kind, keys, counts, where, frames = token_store.open_shard(shard, store.dictionary)
+    assert len(token_store.read_document(shard, store.dictionary, len(keys) - 1)) == counts[-1]
+    with pytest.raises(ValueError):
+        token_store.open_shard(shard, store.dictionary + b"x")
+    assert token_store.read_tokens(token_store.write_tokens(none, queries.vocabulary("word_bpe_49k.json"))).count() == 0
+
+
+# -- 3 ----------------------------------------------------------------------------------------------
+
+
+def contaminated(docs, items):
+    windows = {}
+    for k, t in items:
+        w = words(t, ALNUM)
+        m = min(13, len(w))
+        for i in range(len(w) - m + 1) if m else []:
+            windows.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(k)
+    out = []
+    for k, t in docs:
+        w, hit, found = words(t, ALNUM), set(), set()
+        for m, d in windows.items():
+            for i in range(len(w) - m + 1):
+                if x := d.get(tuple(w[i : i + m])):
+                    hit.update(range(i, i + m))
+                    found |= x
+        out.append((k, len(w), len(hit), tuple(sorted(found))))
+    return out
+
+
+@pytest.mark.parametrize("block", [10, 1 << 20])
+def test_decontamination(spark, docs, none, block):
+    items = [(1, TEXTS[4]), (2, "zzz " + " ".join(f"w{i}" for i in range(100, 130))), (3, None), (4, "..."), (5, "漢字"), (1, TEXTS[4]), (6, "one Two three one"), (7, "wörd one two three " * 5)]
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_words int")
+    key = lambda r: tuple((x is not None, x) for x in r[:3])
+    got = [(r["key"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), tuple(sorted(r["items"]))) for r in decontaminate.matches(docs, bench, block_chars=block).collect()]
+    want = contaminated(all_rows(docs), items)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    clean = decontaminate.decontaminate(docs, bench, block_chars=block)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in want)
+    assert decontaminate.decontaminate(docs, bench.where("false")).count() == docs.count()
+    assert decontaminate.matches(none, bench).count() == 0
+
+
+def test_suffix_search_finds_the_longest():
+    rng = np.random.default_rng(1)
+    vocabulary = [f"t{i}" for i in range(6)]
+    text = " ".join(rng.choice(vocabulary, 400))
+    items = [(i, " ".join(rng.choice(vocabulary, 9))) for i in range(10)]
+    got = decontaminate.shard(pa.array([text]), decontaminate.Items(items, 4))[3][0]
+    w, most = text.split(), 0
+    for _, t in items:
+        q = t.split()
+        for i in range(9):
+            for n in range(4, 10 - i):
+                if any(w[j : j + n] == q[i : i + n] for j in range(len(w) - n + 1)):
+                    most = max(most, n)
+    assert got["n_words"] == most
+    q = dict(items)[got["item_id"]].split()[got["item_word"] :][:most]
+    assert w[got["doc_word"] : got["doc_word"] + most] == q
+
+
+# -- 4 ----------------------------------------------------------------------------------------------
+
+
+def classes(pairs):
+    """(key, fp) to the least key of each row's component."""
+    fp = np.array([p for _, p in pairs], np.uint64)
+    root = list(range(len(fp)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4).tolist():
+            root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(pairs):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return [least.get(find(i)) for i in range(len(fp))]
+
+
+def slow_fingerprint(t):
+    from xxhash import xxh64_intdigest
+
+    w = words(t)
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, none):
+    pairs = [(k, slow_fingerprint(t)) for k, t in all_rows(docs)]
+    want = sorted(((k, p, c) for (k, p), c in zip(pairs, classes(pairs))), key=str)
+    got = sorted(((r["key"], r["fp"] % 2**64, r["component_id"]) for r in simhash.groups(docs).collect()), key=str)
+    assert got == want
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.count() == len({c for c in classes(pairs)})
+    assert simhash.groups(none).count() == 0 and simhash.deduplicate(none).count() == 0
+
+
+def test_golay_keys_meet_within_four_bits():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)
+    (k1, r1), (k2, r2) = golay.keys(a), golay.keys(b)
+    met = {*zip(k1.tolist(), r1.tolist())} & {*zip(k2.tolist(), r2.tolist())}
+    assert {r for _, r in met} == set(range(4000))
+
+
+@pytest.mark.parametrize("group", [3, 4096])
+def test_dense_groups_stay_whole(spark, group):
+    """Chains and balls of fingerprints, also where every key is over the bound and is dealt into blocks."""
+    rng = np.random.default_rng(7)
+    fp = [int(x) for x in rng.integers(0, 2**64, 20, dtype=np.uint64)]
+    for c in fp[:3]:
+        x = c
+        for _ in range(60):
+            x ^= 1 << int(rng.integers(0, 64))
+            fp.append(x)
+    fp = list(dict.fromkeys(fp))
+    nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fp], "fp long")
+    got = components(simhash.links(nodes, group=group))
+    root = {r["node"]: r["root"] for r in got.collect()}
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fp]
+    want = classes(list(zip(signed, fp)))
+    assert [root.get(s, s) for s in signed] == want
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (7, 7)], "u long, v long")
+    got = dict(rows(components(edges)))
+    assert got == {**{i: 0 for i in range(101)}, 400: 400, 500: 400}
+    assert components(edges.where("false")).count() == 0
+
+
+# -- 6 ----------------------------------------------------------------------------------------------
+
+
+def base_spans(t):
+    t = t or ""
+    assign = re.compile(r"((?a:(?i:password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+SECRETS = [
+    "😀 Password='abcdef' x token=token : abcdefg", "api_key:a=bcdefg APIKEY =  \"zz.zz-zz\" secret=ab", "AKIAAKIA" + "B" * 12, "AKIA" + "B" * 15, "f" * 24 + "g" + "0" * 23, "paſſword=abcdefgh tOKen=abcdefgh", None, "",
+    "id: access_key_id = user12345 and then wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY here https://api.example.org/v1", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY alone", "see https://example.org/a", "user_id=bob77 " + "x " * 300 + "password=abcdefgh",
+]
+
+
+def test_secrets(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(SECRETS)] + [(0, SECRETS[0], 1, 2)], "doc_id long, text string, kind int, row int").repartition(2)
+    got = [(r["key"], [tuple(s) for s in r["spans"]]) for r in secrets.spans(docs).collect()]
+    assert sorted((k, [s for s in x if s[1] < 3]) for k, x in got) == sorted((i, base_spans(SECRETS[i])) for i in [*range(len(SECRETS)), 0])
+    found = dict(got)
+    linked = lambda i: {s[1] for s in found[i] if s[1] > 2}
+    assert linked(8) == {3, 4, 5} and not linked(9) and not linked(10) and not linked(11)
+    assert secrets.spans(docs.where("false")).count() == 0
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(SECRETS)] + [(None, "token=abcdefgh!", 15), (0, "clean", 5)], "doc_id long, text string, n_chars long")
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
+    assert (None, "[REDACTED]!", 11) in got and (0, "clean", 5) in got and (6, None, None) in got and (7, "", 0) in got
+    assert (0, "😀 [REDACTED]' x token=token : abcdefg", 37) in got
+    assert (4, "[REDACTED]g" + "0" * 23, 34) in got and len(got) == len(SECRETS) + 2
+
+
+# -- 7 ----------------------------------------------------------------------------------------------
+
+
+def test_quality_statistics(docs, none):
+    got = [tuple(r[c] for c in ("key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct")) for r in quality.statistics(docs).collect()]
+    want = []
+    for k, t in all_rows(docs):
+        w, seen, windows = words(t, low=False), Counter(), {}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        seen.update(lines)
+        for i in range(len(w) - 7):
+            windows.setdefault(tuple(w[i : i + 8]), []).append(i)
+        cover = {j for v in windows.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+        want.append((k, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), sum(seen.values()) - len(seen), len(cover), len(set(w))))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert quality.statistics(none).count() == 0
+
+
+def test_rules_are_learned_and_ordered(spark):
+    rng = np.random.default_rng(2)
+    good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], 60)) + f" {i}" for i in range(120)]
+    junk = [g.replace(" ", "### ") for g in good[:30]] + [g.upper().replace(" ", "!! ") for g in good[30:60]]
+    texts = [(i, t, int(i < 120)) for i, t in enumerate(good + junk)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts if i % 3 < 2] + [(None, 1), (5, None)], "doc_id long, quality int")
+    rules = quality.learn_rules(docs, labels)
+    assert 1 <= len(rules) <= 4
+    kept = {r["key"]: r["k"] for r in quality.statistics(docs).select("key", quality.verdict(rules).alias("k")).collect()}
+    held = [(kept[i], y) for i, _, y in texts if i % 3 == 2]
+    assert all(k for k, y in held if y) and sum(not k for k, y in held if not y) >= 0.9 * sum(not y for _, y in held)
+    assert quality.learn_rules(docs, labels.where("false")) == [] and quality.learn_rules(docs, labels.where("quality = 1")) == []
+    assert quality.filter_quality(docs, labels.where("false")).count() == len(texts)
+    assert quality.filter_quality(docs, labels).columns == docs.columns
+
+
+def test_quality_filter_keeps_columns(docs, none, spark):
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    got = quality.filter_quality(docs, labels)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {12}
+    assert quality.filter_quality(none, labels).count() == 0
+
+
+# -- 8 ----------------------------------------------------------------------------------------------
+
+
+def test_scores(docs, none):
+    given = all_rows(docs)
+    tok = [words(t) + [None] for _, t in given]
+    out = [zlib.crc32(str(k).encode()) % 5 == 1 if k is not None else False for k, _ in given]
+    c = Counter(x for t, o in zip(tok, out) if not o for x in t)
+    total = sum(c.values())
+    norm = math.log10(total + 0.5 * (len(c) + 1))
+    want = sorted((k, o, len(t), sum(c[x] > 0 for x in t), total, round(sum(math.log10(c[x] + 0.5) - norm for x in t), 6)) for (k, _), o, t in zip([(k if k is not None else -1, t) for k, t in given], out, tok))
+    rows_ = maxent_lm.scores(docs).collect()
+    assert sorted((r["key"] if r["key"] is not None else -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows_) == want
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows_)
+    assert maxent_lm.scores(none).count() == 0
+
+
+def test_without_training_text(docs):
+    held = docs.where(maxent_lm.held_out("doc_id"))
+    got = maxent_lm.scores(held).collect()
+    assert got and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_tail_words_are_joined(docs, monkeypatch):
+    whole = sorted((str(r["key"]), r["n_known"], round(r["base_score"], 6)) for r in maxent_lm.scores(docs).collect())
+    monkeypatch.setattr(maxent_lm, "HEAD", 2)
+    assert sorted((str(r["key"]), r["n_known"], round(r["base_score"], 6)) for r in maxent_lm.scores(docs).collect()) == whole
+
+
+def test_model_is_a_distribution_and_learns(spark):
+    m = maxent_lm.Model(np.log(np.full(16, 1 / 16)), np.log(np.full((16, 16), 1 / 16)))
+    rng = np.random.default_rng(0)
+    m.w1, m.w2 = rng.normal(size=m.w1.shape).astype(np.float32), rng.normal(size=m.w2.shape).astype(np.float32)
+    f = rng.integers(0, maxent_lm.ROWS, (4, 1))
+    assert abs(sum(math.exp(m.score(f, np.array([c]))[0]) for c in range(256)) - 1) < 1e-4
+    texts = [" ".join(["the", "quick", "brown", "fox", "jumps", "over"] * 30) if i % 2 else " ".join(["der", "schnelle", "braune", "fuchs"] * 40) for i in range(300)]
+    got = maxent_lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert got["s"] > 0.7 * got["b"] > got["b"]
+
+
+# -- 9 ----------------------------------------------------------------------------------------------
+
+
+def test_chat(spark):
+    odd = ["<|im_end|><|im_start|>assistant ok", "", None, "\\<|\\", " lead and trail \n\n", "漢字😀é́", "<|endoftext|>"]
+    turns = [(c, t, r, x, "extra") for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", "assistant", "system", "assistant", "assistant", None], odd))]
+    turns += [(1, 0, "user", odd[0], None), (5, None, "assistant", "late", None), (5, 0, "assistant", "x", None), (6, 0, "user", "only", None), (7, 0, "assistant", LONG, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, ids string").repartition(3)
+    formatted = chat_format.format_conversations(df, queries.vocabulary("byte_bpe_50k.json"))
+    got = {r["key"]: r for r in chat_format.digests(formatted).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(got) == {1, 2, None, 5, 6, 7}
+    for k, r in got.items():
+        mine = sorted(((t is not None, t or 0, role or "", x or "") for c, t, role, x, _ in turns if c == k))
+        said = "".join(x for *_, role, x in mine if role == "assistant")
+        assert r["n_turns"] == len(mine) and r["turns_sha256"] == sha("".join(f"{role}\n{x}\n" for *_, role, x in mine))
+        assert r["loss_chars"] == len(said) and r["loss_sha256"] == sha(said)
+    assert chat_format.digests(chat_format.format_conversations(df.where("false"), queries.vocabulary("byte_bpe_50k.json"))).count() == 0
+
+
+# -- 10 ---------------------------------------------------------------------------------------------
+
+
+def test_license_places(docs, none):
+    got = [(r["key"], r["n_words"], list(r["places"])) for r in licenses.licenses(docs).collect()]
+    want = []
+    for k, t in all_rows(docs):
+        w = words(t, ALNUM)
+        want.append((k, len(w), sorted(i for p, _ in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())))
+    assert sorted(got, key=str) == sorted(want, key=str) and licenses.licenses(none).count() == 0
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("This program is licensed under the GNU General Public License, version 3", "gpl"), ("licensed under the GNU general public license as published by the Free Software Foundation, version 2", "gpl"),
+    ("Licensed under the Apache Licence, Version 2.0", None), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "mit"),
+    ("Permission is hereby granted, free of charge, to some person obtaining a copy", None),
+])
+def test_templates(text, label):
+    _, _, found, score = licenses.scan(words(text, ALNUM))
+    assert found == ({label} if label else set()) and (score == 1.0) == bool(label) and 0 <= score <= 1
+
+
+def test_automaton_regions():
+    a = licenses.Automaton("a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> d <<var;most=2>> e")
+    assert all(a.run(w.split(), 0)[0] for w in ("a d e", "a b d e", "a b c d e", "a d x e", "a d x y e", "a d x y e z"))
+    assert not any(a.run(w.split(), 0)[0] for w in ("a c d e", "a d x y z e", "a b c d", "b d e"))
+    with pytest.raises(ValueError):
+        licenses.Automaton("<<beginOptional>>a")
