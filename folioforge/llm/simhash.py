@@ -183,12 +183,17 @@ def links(nodes: DataFrame, most: int = MOST, group: int = GROUP) -> DataFrame:
 
 
 def _classes(prints: DataFrame, most: int) -> DataFrame:
-    """fp -> component_id, the least key of all rows that can be reached."""
+    """fp -> component_id, the least key of all rows that can be reached.
+
+    Minima are staged before rows are joined to them, so that both sides of a join are plain shuffles and
+    a component or a group of copies with very many rows is split by adaptive execution."""
     nodes = stage(prints.groupBy("fp").agg(F.min("key").alias("first")), "nodes")
-    roots = components(links(nodes, most))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    linked_ = nodes.join(components(links(nodes, most)).withColumnRenamed("node", "fp"), "fp")
+    least = stage(linked_.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    classes = linked_.select("fp", "root").join(least, "root").select("fp", "component_id")
+    single = nodes.join(classes, "fp", "left")
+    # a linked fingerprint without a component's id has no row with a key in reach
+    return stage(single.select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
