@@ -207,7 +207,9 @@ def verdict(rules: list[Rule]) -> F.Column:
 def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> list[Rule]:
     """Rules from at most ``most`` labelled documents; the sample and its statistics alone reach the driver."""
     given = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).dropna().groupBy("key").agg(F.min("y").alias("y"))
-    sample = given.orderBy(F.xxhash64("key"), "key").limit(most)
+    # all, or those with hashed ids up to the share that gives about ``most``; so no task passes on more than its share
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(given.count(), 1)))
+    sample = given.where(share).orderBy(F.xxhash64("key"), "key").limit(most)
     rows = no_null(docs, key, text).join(F.broadcast(sample), "key")
     got = _with_stats(rows).select("key", "y", *[ratio(r).alias(r) for r in RATIOS]).toPandas().sort_values(["key", *RATIOS]).to_numpy(float)
     if not len(got):
