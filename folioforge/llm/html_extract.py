@@ -54,6 +54,8 @@ _BAD = frozenset(
     "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs byline combx comment comments commentlist cookie cookies consent disqus disclaimer footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommend recommended related replies respond rss share sharing shoutbox sidebar skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toolbar widget".split()
 )
 _GOOD = frozenset("article body content entry hentry main page post story text blog".split())
+_NOT_ARTICLE = frozenset("ad ads advert comment comments promo related replies respond sponsored teaser".split())
+_NOT_GOOD = _NOT_ARTICLE | frozenset("cookie footer menu nav share sidebar".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -151,7 +153,14 @@ def _unwanted(x: Node, inside: bool) -> bool:
     if "role" in low and x.attributes().get("role", "").lower() in _BAD_ROLES:
         return True
     bad = x.names() & _BAD
-    return bool(bad) and not (x.tag in ("article", "main")) and not (x.names() & _GOOD and not bad & {"comment", "comments", "sidebar", "ad", "ads", "footer", "nav", "menu", "related", "share", "cookie"})
+    if not bad or x.tag == "main":
+        return False
+    if x.tag == "article":
+        return bool(bad & _NOT_ARTICLE)
+    if x.names() & _GOOD and not bad & _NOT_GOOD:
+        return False
+    # a page's layout may be named after its sidebar: what holds the article itself stays
+    return not any(k.tag == "main" or k.tag == "article" and not k.names() & _NOT_ARTICLE for k in _find(x, ("main", "article")))
 
 
 def prune(x: Node, inside: bool = False) -> None:

@@ -57,6 +57,7 @@ ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First, line\n  here.<br><p>Se
 @pytest.mark.parametrize("frame", [
     "{}", "<html><body><nav><ul><li><a href=/>Home</a></ul></nav>{}<footer>&copy; x</footer>", "<body><header><p>Site, name, of, the, page</p></header><div class=sidebar><p>Side, bar, text, that, is, long, with, commas, in, it.</p></div>{}",
     "<div id='cookie-notice'><p>We use cookies, as all do, for this, that and more.</p></div>{}<div class='comments'><p>Great, great, great post, thank, you, for, it, reader.</p></div>", "<script>var x = '<p>no, no, no</p>';</script><style>p{{}}</style>{}<form><p>Subscribe, now, to, it</p></form><aside>Ad</aside>",
+    "<div class='content sidebar-right'>{}<section id=comments><article class=comment><p>Nice, nice, nice, very nice article, thank you, all.</p></article></section></div>",
     "<!-- <p>comment, a, b, c</p> -->{}<div class='ad banner'><p>Buy, buy, buy, buy, buy, buy</p></div><div style='display: none'>hidden</div>",
 ])
 def test_article_alone_is_kept(frame):
