@@ -90,11 +90,16 @@ def features(h: np.ndarray, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([(mix(k) & u(ROWS - 1)).astype(np.int64) for k in kinds])
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+_ONES = np.ones(C, np.float32)
+
+
+def _logits(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The features' weights and the prior, bounded so that no exponential overflows or vanishes."""
+    x = w.take(rows[0], 0)
+    for r in rows[1:]:
+        x += w.take(r, 0)
+    x += prior
+    return np.clip(x, -80, 80, out=x)
 
 
 def second(rows: np.ndarray, c1: np.ndarray) -> np.ndarray:
@@ -116,26 +121,24 @@ class Model:
         for at in range(0, rows.shape[1], STEP):
             f, c1, c2 = rows[:, at : at + STEP], cls[at : at + STEP] // C, cls[at : at + STEP] % C
             i = np.arange(len(c1))
-            x = sum(self.w1[r] for r in f) + self.prior1
-            y = sum(self.w2[r] for r in second(f, c1)) + self.prior2[c1]
-            for k, (z, c) in enumerate(((x, c1), (y, c2))):
-                top = z.max(1)
-                part = z[i, c] - top - np.log(np.exp(z - top[:, None]).sum(1))
-                out[at : at + STEP] = part if not k else out[at : at + STEP] + part
+            x, y = _logits(self.w1, f, self.prior1), _logits(self.w2, second(f, c1), self.prior2.take(c1, 0))
+            out[at : at + STEP] = x[i, c1] - np.log(np.exp(x) @ _ONES) + y[i, c2] - np.log(np.exp(y) @ _ONES)
         return out
 
     def train(self, rows: np.ndarray, cls: np.ndarray, state: list[np.ndarray]) -> None:
         """Adaptive gradient steps on batches of tokens; state: the sums of squared gradients."""
         for at in range(0, rows.shape[1], STEP):
             f, c1, c2 = rows[:, at : at + STEP], cls[at : at + STEP] // C, cls[at : at + STEP] % C
-            for w, g, prior, c, s in ((self.w1, f, self.prior1, c1, state[0]), (self.w2, second(f, c1), self.prior2[c1], c2, state[1])):
-                p = _softmax(sum(w[r] for r in g) + prior)
+            for w, g, prior, c, s in ((self.w1, f, self.prior1, c1, state[0]), (self.w2, second(f, c1), self.prior2.take(c1, 0), c2, state[1])):
+                p = _logits(w, g, prior)
+                np.exp(p, out=p)
+                p /= (p @ _ONES)[:, None]
                 p[np.arange(len(c)), c] -= 1
                 for r in g:
                     order = np.argsort(r.astype(np.uint16), kind="stable")
                     sorted_ = r[order]
                     first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                    grad, where = np.add.reduceat(p[order], first), sorted_[first]
+                    grad, where = np.add.reduceat(p.take(order, 0), first), sorted_[first]
                     s[where] += grad * grad
                     w[where] -= RATE * grad / np.sqrt(s[where] + 1.0)
 
