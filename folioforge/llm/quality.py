@@ -173,6 +173,20 @@ def _worth(rule: Rule, x: np.ndarray, low: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def _tighten(rule: Rule, x: np.ndarray, low: np.ndarray, share: float = 0.02) -> Rule:
+    """Thresholds moved to where all but a small share of the low documents that the rule covers still pass:
+    between the kinds of documents, it is the clean ones that get the room."""
+    inside = x[covers(rule, x) & low]
+    if not len(inside):
+        return rule
+    out = []
+    for c in rule:
+        col = inside[:, list(RATIOS).index(c.feature)]
+        near = float(np.quantile(col, share, method="lower")) if c.above else float(np.quantile(col, 1 - share, method="higher")) + 1e-9
+        out.append(Condition(c.feature, c.above, max(near, c.threshold) if c.above else min(near, c.threshold)))
+    return tuple(dict.fromkeys(out))
+
+
 def learn(x: np.ndarray, low: np.ndarray, precision: float = 0.95, least: int = 3, most_rules: int = 16) -> list[Rule]:
     """An ordered list of rules for low quality; x has the ratios in columns."""
     rules: list[Rule] = []
@@ -184,6 +198,7 @@ def learn(x: np.ndarray, low: np.ndarray, precision: float = 0.95, least: int =
         if not rule:
             break
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: _worth(r, x[h], low[h]))
+        rule = _tighten(rule, x[g], low[g])
         got = covers(rule, x) & h
         p, all_ = int(low[got].sum()), int(got.sum())
         if p < min(least, max(1, int((low & h).sum()))) or p < precision * all_:
