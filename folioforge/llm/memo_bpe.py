@@ -2,9 +2,9 @@
 
 A BPE vocabulary splits a text into pre-tokens first and merges inside each of them, so the ids of a
 text are the joined ids of its pre-tokens.  :class:`MemoEncoder` keeps the ids of pre-tokens it has
-seen (bounded by ``max_entries``) and hands only unseen ones to the tokenizer.  A text outside the
-alphabet for which the split is reproduced here (Latin letters up to U+024F) goes to the tokenizer
-as it is, so the ids are the tokenizer's own for every text.
+seen (bounded by ``max_entries``, begun anew when full) and hands only unseen ones to the tokenizer.
+A text outside the alphabet for which the split is reproduced here (Latin letters up to U+024F) goes
+to the tokenizer as it is, so the ids are the tokenizer's own for every text.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 import re
 import struct
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -31,6 +32,10 @@ _SELF = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
+#: Longer pre-tokens are not kept, so a memo's size is bounded.
+LONGEST = 64
+
+
 class _Memo(dict):
     """pre-token -> its ids as little-endian bytes; an unseen one goes to the tokenizer's model."""
 
@@ -45,7 +50,9 @@ class _Memo(dict):
             letters = piece.encode().decode("latin-1").translate(_ALPHABET)
         ids = [t.id for t in self.tokenize(letters)]
         out = struct.pack(f"<{len(ids)}{self.kind}", *ids)
-        if len(self) < self.most:
+        if len(piece) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
             self[piece] = out
         return out
 
@@ -88,3 +95,9 @@ class MemoEncoder:
         if self.split is None or _OUTSIDE.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join(map(self.memo.__getitem__, self.split(text.lower() if self.lower else text)))
+
+
+@lru_cache(maxsize=1)
+def shared(job: str, path: str, max_entries: int = 600_000, width: int = 4) -> MemoEncoder:
+    """The encoder that one job's tasks share in a Python worker; another job begins with nothing."""
+    return MemoEncoder(path, max_entries, width)

@@ -20,6 +20,7 @@ length is cut into as many windows as it fills.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import no_null, pieces, stage
-from .memo_bpe import MemoEncoder
+from .memo_bpe import shared
 
 WINDOW = 1024
 #: The most rows of (task, length, count) that are broadcast; beyond it they are joined by shuffle.
@@ -116,7 +117,7 @@ def _cutter(encoder: tuple, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end = TaskContext.get().partitionId(), MemoEncoder(*encoder), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), shared(*encoder), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(window + 1, np.int64)
         names = ["key", "start", "length", "ids", "doc_tokens", "part", "number"]
         for batch in pieces(batches, most=1 << 20):
@@ -142,7 +143,7 @@ def _cutter(encoder: tuple, end_id: int, window: int):
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 0, key: str = "doc_id", text: str = "text", memo: int = 600_000) -> DataFrame:
     """Per piece: key, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset."""
     src = no_null(docs, key, text)
-    cut = stage(src.mapInArrow(_cutter((vocabulary, memo), end_id, window), "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, number bigint"), "pieces")
+    cut = stage(src.mapInArrow(_cutter((uuid.uuid4().hex, vocabulary, memo), end_id, window), "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, number bigint"), "pieces")
     counts = stage(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     whole = histogram.pop(window, 0)

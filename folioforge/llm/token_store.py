@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import no_null, pieces, stage
-from .memo_bpe import MemoEncoder
+from .memo_bpe import shared
 
 MAGIC = b"FFZD1"
 HEAD = "<5sIQII32s"
@@ -56,11 +57,11 @@ def _zdict(dictionary: bytes):
 def train_dictionary(src: DataFrame, encoder: tuple, end_id: int) -> bytes:
     import zstandard
 
-    enc = MemoEncoder(*encoder)
+    enc = shared(*encoder)
     chosen = src.select(F.xxhash64("key").alias("h")).orderBy("h").limit(DICT_DOCS)  # hashes alone, then the chosen ones' texts
     rows = src.withColumn("h", F.xxhash64("key")).join(F.broadcast(chosen.distinct()), "h", "left_semi")
     few = rows.select(F.substring("text", 1, DICT_BYTES).alias("text")).orderBy("text").limit(DICT_DOCS)
-    samples = [(enc.encode(r["text"]) + end_id.to_bytes(encoder[2], "little"))[:DICT_BYTES] for r in few.collect()]
+    samples = [(enc.encode(r["text"]) + end_id.to_bytes(encoder[3], "little"))[:DICT_BYTES] for r in few.collect()]
     try:
         return zstandard.train_dictionary(DICT_SIZE, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: their content itself serves as the dictionary
@@ -74,7 +75,7 @@ def _width(vocabulary: str) -> int:
 
 
 def _writer(encoder: tuple, end_id: int, dictionary: bytes):
-    digest, width = hashlib.sha256(dictionary).digest(), encoder[2]
+    digest, width = hashlib.sha256(dictionary).digest(), encoder[3]
     end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def _writer(encoder: tuple, end_id: int, dictionary: bytes):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        enc, z = MemoEncoder(*encoder), zstandard.ZstdCompressor(level=1, dict_data=_zdict(dictionary), write_content_size=True)
+        enc, z = shared(*encoder), zstandard.ZstdCompressor(level=1, dict_data=_zdict(dictionary), write_content_size=True)
         keys: list = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -116,7 +117,7 @@ def _writer(encoder: tuple, end_id: int, dictionary: bytes):
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id", text: str = "text", memo: int = 600_000) -> Store:
-    src, encoder = no_null(docs, key, text), (vocabulary, memo, _width(vocabulary))
+    src, encoder = no_null(docs, key, text), (uuid.uuid4().hex, vocabulary, memo, _width(vocabulary))
     dictionary = train_dictionary(src, encoder, end_id)
     dealt = src.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
     shards = stage(dealt.mapInArrow(_writer(encoder, end_id, dictionary), "part bigint, tokens bigint, n_docs bigint, shard binary"), "tokens")
