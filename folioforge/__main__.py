@@ -44,7 +44,8 @@ def parse(spark: SparkSession, folder: str, table: str, keyword: str = "", repar
     found = pages.captured(spark, folder).withColumn("crawl_id", F.xxhash64("html_file")).withColumn("case_number_hint", F.regexp_extract("html_file", r"([^/]+)\.html$", 1))
     old = None if reparse else known(spark, table)
     new = found if old is None else found.join(old.select("crawl_id", "parsed_at"), "crawl_id", "left").where("parsed_at IS NULL OR modified > parsed_at").drop("parsed_at")
-    got = judgments.parse(new.withColumn("keyword", F.lit(keyword))).where("error IS NULL").drop("error").withColumn("parsed_at", F.current_timestamp())
+    readable = new.where("html IS NOT NULL")  # a file that is not UTF-8 is tried again, as one that cannot be parsed
+    got = judgments.parse(readable.withColumn("keyword", F.lit(keyword))).where("error IS NULL").drop("error").withColumn("parsed_at", F.current_timestamp())
     name = store.replace(spark, got if old is None else store.replace_latest(old, got, "crawl_id", ["parsed_at"]), table)
     rows = spark.read.parquet(f"{table}/{name}")
     return rows.count() - (0 if old is None else old.count())
@@ -92,7 +93,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.what == "parse":
         print(parse(spark, args.folder, args.table, args.keyword, args.reparse))
     elif args.what == "stubs":
-        store.stubs(spark.read.parquet(args.records), pages.captured(spark, args.folder), text.page_is_complete("html", within=20_000)).select("case_number", "source_url", "reason").show(1000, False)
+        store.stubs(spark.read.parquet(args.records), pages.captured(spark, args.folder), text.page_is_complete("html", within=20_000, size="bytes")).select("case_number", "source_url", "reason").show(1000, False)
     else:
         done = export(spark, args.table, args.output, args.full_text, keyword=args.keyword, court=args.court, start=args.start_date, end=args.end_date, typed=args.typed_dates, limit=args.num or None, offset=args.offset)
         return 0 if done else 1

@@ -73,10 +73,11 @@ def page_title(html: Column | str) -> Column:
     return F.regexp_extract(F.substring(col(html), 1, 2000), r"(?s)<title>\s*(.*?)\s*</title>", 1)
 
 
-def page_is_complete(html: Column | str, least: int = 5000, marks: tuple[str, ...] = ('id="jud"', "htmlcontent"), within: int | None = None) -> Column:
-    """Long enough and with one of the marks (in the first ``within`` characters, if given)."""
+def page_is_complete(html: Column | str, least: int = 5000, marks: tuple[str, ...] = ('id="jud"', "htmlcontent"), within: int | None = None, size: Column | str | None = None) -> Column:
+    """Long enough (by ``size``, or by characters) and with one of the marks (in the first ``within`` characters, if given)."""
     seen = col(html) if within is None else F.substring(col(html), 1, within)
-    return F.coalesce((F.length(col(html)) >= least) & reduce(lambda a, b: a | b, [seen.contains(m) for m in marks]), F.lit(False))
+    length = F.length(col(html)) if size is None else col(size)
+    return F.coalesce((length >= least) & reduce(lambda a, b: a | b, [seen.contains(m) for m in marks]), F.lit(False))
 
 
 def title_matches_url(html: Column | str, url: Column | str) -> Column:

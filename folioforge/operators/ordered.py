@@ -1,10 +1,12 @@
 """Operators whose result depends on an order: first wins, budgets, early stop, islands, forward fill.
 
-Windows are always by a key.  Where an order spans all rows, they are dealt into stretches of the
-order first, so that no single task gets them all."""
+Windows are always by a key.  Where an order spans all rows, or very many rows of a key, they are
+dealt into stretches of the order first, so that no single task gets them all."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,24 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_wins(df, keys, [F.col(o).desc() for o in order])
 
 
-def row_index(df: DataFrame, order: list[Column | str], stretch: Column, name: str = "row_index") -> DataFrame:
-    """A 0-based number in the order.  ``stretch`` must not decrease along the order; rows are numbered within
-    stretches, and the stretches' counts (a row each) are summed up before."""
+def _meet(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the further columns of ``few``, which has a row for each value of the keys; null meets null."""
+    few = few.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in few.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return rows.join(few, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def row_index(df: DataFrame, order: list[Column | str], stretch: Column, name: str = "row_index", by: list[str] | None = None) -> DataFrame:
+    """A 0-based number in the order, within each value of the columns ``by`` if given.  ``stretch`` must not decrease
+    along the order; rows are numbered within stretches, and the stretches' counts (a row each) are summed up before."""
+    by = by or []
+    keys = [*by, "_stretch"]
     rows = df.withColumn("_stretch", stretch)
-    sizes = rows.groupBy("_stretch").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_stretch", F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_stretch").orderBy(*order)) - 1
-    return rows.withColumn("_in", inside).join(starts, "_stretch").withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_stretch", "_in", "_start")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    along = (Window.partitionBy(*by) if by else Window).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("_size").over(along), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return _meet(rows.withColumn("_in", inside), starts, keys).withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_stretch", "_in", "_start")
 
 
 def batches(df: DataFrame, order: list[Column | str], stretch: Column, size: int = 80, name: str = "batch") -> DataFrame:
@@ -60,10 +71,21 @@ def distributions(df: DataFrame, keys: list[str], order: str, unknown: str) -> D
     return df.select(F.col(order).alias("_o"), pair.alias("p")).groupBy("p.attribute", "p.value").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first_at"))
 
 
-def forward_fill(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """The last value that was not null up to each row of its key."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+def forward_fill(df: DataFrame, key: str, order: list[str], value: Column, name: str, stretch: Column | None = None) -> DataFrame:
+    """The last value that was not null up to each row of its key.
+
+    With ``stretch``, which must not decrease along the order, a key's rows are filled stretch by stretch, and
+    each stretch's last value (a row each) is carried into the ones after it."""
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if stretch is None:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)))
+    rows = df.withColumn("_stretch", stretch).withColumn("_value", value)
+    at = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = rows.groupBy(key, "_stretch").agg(F.max_by("_value", at).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last("_value", ignorenulls=True).over(Window.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(*upto))
+    met = _meet(rows.withColumn("_inside", inside), ends.select(key, "_stretch", before.alias("_before")), [key, "_stretch"])
+    return met.withColumn(name, F.coalesce("_inside", "_before")).drop("_stretch", "_value", "_inside", "_before")
 
 
 def titled_sections(lines: DataFrame, key: str, pos: str, line: str, is_heading: Column) -> DataFrame:
@@ -90,6 +112,8 @@ def roles_joined(rows: DataFrame, key: str, pos: str, role: str, name: Column) -
 
 
 def last_match_window(df: DataFrame, key: str, at: str, is_match: Column, back: Column) -> DataFrame:
-    """Rows of a key from ``back`` before its last match on; keys without a match have none."""
-    last = F.max(F.when(is_match, F.col(at))).over(Window.partitionBy(key))
-    return df.withColumn("_last", last).where(F.col(at) >= F.col("_last") - back).drop("_last")
+    """Rows of a key from ``back`` before its last match on; keys without a match have none.
+
+    A partial maximum and a join, so a key with very many rows is split by adaptive execution."""
+    last = df.groupBy(key).agg(F.max(F.when(is_match, F.col(at))).alias("_last")).where("_last IS NOT NULL")
+    return _meet(df, last, [key]).where(F.col(at) >= F.col("_last") - back).drop("_last")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -117,6 +117,18 @@ def case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", F.col("k.year").alias("case_year"), F.col("k.type").alias("case_type"), F.col("k.number").alias("case_no"), "roc")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'stale' WHEN o_custkey % 7 = 0 THEN 'mismatch' WHEN o_custkey % 3 = 0 OR o_custkey % 2 = 0 THEN 'stub' END AS reason FROM orders""")
+def page_reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of orders: some landed elsewhere, have another title, lack the mark, or are short."""
+    when = lambda n, a, b: F.when(F.col("o_custkey") % n == 0, a).otherwise(b)
+    number = F.col("o_orderkey").cast("string")
+    url = F.expr(ADDRESS.replace("VARCHAR", "STRING"))
+    title = F.concat((F.year("o_orderdate") - 1911).cast("string"), F.lit(" 年度上字第 "), when(7, F.lit("-"), number), F.lit(" 號"))
+    html = F.concat(F.lit("<title> "), title, F.lit("</title>"), when(3, F.lit(""), F.lit("htmlcontent")), when(2, F.lit("x"), F.repeat(F.lit("x"), 5000)))
+    landed = when(5, F.lit("https://example.org/data?id=other"), url)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.reject_reason(html, url, landed).alias("reason"))
+
+
 @query(f"WITH {LINKS} SELECT page_id, CAST(pos AS BIGINT) AS pos, href, label FROM links")
 def nav_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_.anchors(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("pos", F.col("pos").cast("bigint"))
@@ -238,7 +250,7 @@ def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events")
 def speaker_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return ordered.forward_fill(events, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "last_purchase").select("event_id", "user_id", "last_purchase")
+    return ordered.forward_fill(events, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "last_purchase", F.trunc("ts", "month")).select("event_id", "user_id", "last_purchase")
 
 
 @query(f"""WITH {LINES}, s AS (SELECT *, coalesce(sum(CASE WHEN length(line) > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM lines)
@@ -269,8 +281,9 @@ p AS (SELECT o_orderpriority, page, max(CASE WHEN y BETWEEN 1998 AND 1999 THEN 1
 s AS (SELECT o_orderpriority, min(page) AS stop FROM p WHERE hit = 0 AND latest < 1998 GROUP BY 1)
 SELECT o_orderkey, CAST(page AS BIGINT) AS page FROM i LEFT JOIN s USING (o_orderpriority) WHERE y BETWEEN 1998 AND 1999 AND (stop IS NULL OR page < stop)""")
 def early_stop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.floor((at - 1) / 100).cast("bigint").alias("page"))
+    month = -(F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+    numbered = ordered.row_index(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], month, "at", ["o_orderpriority"])
+    items = numbered.select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("y"), F.floor(F.col("at") / 100).cast("bigint").alias("page"))
     return ordered.early_stop(items, "o_orderpriority", "page", "y", 1998, 1999).select("o_orderkey", "page")
 
 

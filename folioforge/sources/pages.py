@@ -10,9 +10,9 @@ from ..operators.ordered import first_wins
 
 
 def captured(spark: SparkSession, folder: str) -> DataFrame:
-    """html_file, html, bytes, modified of every .html file in a folder; one row a file."""
+    """html_file, html, bytes, modified of every .html file in a folder; one row a file, html null where it is not UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
-    return files.select(F.col("path").alias("html_file"), F.decode("content", "UTF-8").alias("html"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.select(F.col("path").alias("html_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("html"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:

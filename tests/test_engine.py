@@ -24,6 +24,29 @@ def test_row_index_and_batches(spark):
     assert all(r["batch"] == r["k"] // 80 for r in got)
 
 
+def test_row_index_by_group_and_null(spark):
+    data = [(g, None if i % 7 == 0 else i * 37 % 100, i) for g in ("a", "b", None) for i in range(50)]
+    got = ordered.row_index(spark.createDataFrame(data, "g string, k int, i int"), ["k", "i"], F.floor(F.col("k") / 9), by=["g"]).collect()
+    assert len(got) == len(data)
+    for g in ("a", "b", None):
+        want = [r[2] for r in sorted((r for r in data if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+        assert [r["i"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["row_index"])] == want
+
+
+def test_forward_fill_by_stretches(spark):
+    data = [(g, i, i * 31 % 17 if i % 5 == 3 else None) for g in ("a", None) for i in range(60)] + [("c", 1, None)]
+    df = spark.createDataFrame(data, "g string, i int, v int")
+    whole = ordered.forward_fill(df, "g", ["i"], F.col("v"), "f")
+    for stretch in (F.floor(F.col("i") / 4), F.floor(F.col("i") / 25), F.when(F.col("i") > 9, F.col("i"))):
+        assert rows(ordered.forward_fill(df, "g", ["i"], F.col("v"), "f", stretch)) == rows(whole)
+
+
+def test_last_match_window_with_null_keys(spark):
+    data = [("a", 1, 0), ("a", 5, 1), ("a", 3, 0), (None, 4, 1), (None, 1, 0), ("b", 9, 0)]
+    got = ordered.last_match_window(spark.createDataFrame(data, "k string, t int, m int"), "k", "t", F.col("m") == 1, F.lit(2))
+    assert rows(got) == rows(spark.createDataFrame([("a", 5, 1), ("a", 3, 0), (None, 4, 1)], "k string, t int, m int"))
+
+
 def test_insert_ignore_keeps_first(spark):
     target = spark.createDataFrame([("a", "old")], "k string, keyword string")
     new = spark.createDataFrame([("a", "x", 1), ("b", "y", 3), ("b", "z", 2)], "k string, keyword string, n int")
@@ -141,6 +164,7 @@ def test_command_line(spark, tmp_path):
     (folder / "A1判決.html").write_text(body, encoding="utf-8")
     assert cli.parse(spark, f"file://{folder}", table, "k") == 1
     (folder / "A2裁定.html").write_text(body, encoding="utf-8")
+    (folder / "A3.html").write_bytes(b"<body>\xff\xfe" + body.encode("utf-16-le"))  # not UTF-8: left for another run
     assert cli.parse(spark, f"file://{folder}", table, "k") == 1
     assert sorted(r["judgment_type"] for r in store.current(spark, table).collect()) == ["判決", "裁定"]
     assert cli.export(spark, table, str(tmp_path / "o.xlsx"), keyword="k", limit=1)

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 
 from folioforge.functions import text
 
@@ -51,6 +52,7 @@ def test_page_checks(spark):
     late = "x" * 20_000 + "htmlcontent"
     assert one(spark, text.page_is_complete("a"), a=late) is True
     assert one(spark, text.page_is_complete("a", within=20_000), a=late) is False
+    assert one(spark, text.page_is_complete("a", size=F.octet_length("a")), a="htmlcontent" + "中" * 1700) is True
     assert one(spark, text.title_matches_url("a", "b"), a=page, b="id=A,112,訴,37") is True
     assert one(spark, text.title_matches_url("a", "b"), a=page, b="id=A,113,訴,37") is False
     assert one(spark, text.title_matches_url("a", "b"), a="<p>", b="id=A,113,訴,37") is True
