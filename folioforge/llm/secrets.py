@@ -32,7 +32,7 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 # Weak candidates, each with a bounded look at its surroundings.
 IDENTIFIER = r"(?i:(?:access|client|account|user|key)[_-]?(?:key[_-]?)?id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{4,128})"
-SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,512}(?![A-Za-z0-9+/_-])"
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,512}(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"(?i:[a-z][a-z0-9+.-]{1,15}://)[A-Za-z0-9._~:/?@!&*+,;=%-]{4,512}"
 
 
@@ -67,7 +67,7 @@ def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         _found(t, 1, ACCESS, t.contains("AKIA"), 0, 20),
         _found(t, 2, HEX.replace("+", "{24,}"), t.rlike("[0-9a-f]{24}"), 0, 24),  # a run of 24 or more is one match either way
         _found(t, 3, IDENTIFIER, sign & t.rlike("(?i:id)[\"']?\\x20{0,4}[:=]"), 1, 4),
-        _found(t, 4, SECRET, t.rlike("[A-Za-z0-9+/]{32}"), 0, 32, _mixed),
+        _found(t, 4, SECRET, t.rlike("[A-Za-z0-9+/_-]{32}"), 0, 32, _mixed),
         _found(t, 5, ENDPOINT, t.contains("://"), 0, 8),
     )
     one = src.select("row", "key", F.explode_outer(found).alias("m")).select("row", "key", "m.*")
