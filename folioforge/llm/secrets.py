@@ -7,8 +7,8 @@ that look like identifiers, long mixed words that look like secrets, and endpoin
 within a document links a weak candidate to parts of another role that stand within ``SCOPE`` code
 points of it; weak candidates without such a part are not reported.
 
-The join is by document row and by stretches of ``SCOPE`` code points, and a stretch holds a bounded
-number of parts, so no document and no group of documents makes it quadratic.
+The join is by document row and by stretches of ``SCOPE`` code points, in all of which a part stands
+that it reaches; a stretch holds a bounded number of parts, so no document and no group of documents makes it quadratic.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned each on its own; an empty
 table gives an empty result; further columns are not read by :func:`spans` and kept by
@@ -30,10 +30,10 @@ _NAMES = "password|passwd|secret|token|api_?key"
 ASSIGN = rf"(?i:({_NAMES}))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
-# Weak candidates, each with a bounded look at its surroundings.
-IDENTIFIER = r"(?i:(?:access|client|account|user|key)[_-]?(?:key[_-]?)?id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{4,128})"
-SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,512}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?i:[a-z][a-z0-9+.-]{1,15}://)[A-Za-z0-9._~:/?@!&*+,;=%-]{4,512}"
+# Weak candidates, whole runs of their characters; only what surrounds them (blanks, a scheme's name) is bounded.
+IDENTIFIER = r"(?i:(?:access|client|account|user|key)[_-]?(?:key[_-]?)?id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?([A-Za-z0-9_.@-]{4,})"
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
+ENDPOINT = r"(?i:[a-z][a-z0-9+.-]{1,15}://)[A-Za-z0-9._~:/?@!&*+,;=%-]{4,}"
 
 
 def _found(text: Column, kind: int, regex: str, gate: Column, group: int, least: int, more: Column | None = None) -> Column:
@@ -87,10 +87,10 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak candidates of :func:`parts` with a complementary part within ``scope``; a weak secret needs an
     identifier or endpoint, a weak identifier a secret, an endpoint an identifier and no less than a secret."""
     p = found.where("kind is not null").withColumn("role", _role("kind"))
-    weak = p.where("kind >= 3").withColumn("bucket", F.floor(F.col("start") / scope))
-    # a part is in reach of the buckets from (start - scope - longest) on; parts are at most 512 + 16 long on the weak side
+    # both sides are dealt to all stretches they reach, however long; a pair may meet in several, which the maxima below do not mind
+    weak = p.where("kind >= 3").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("stop") / scope))))
     other = p.select("row", F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("stop").alias("stop2"))
-    reach = F.sequence(F.floor((F.col("start2") - scope - 640) / scope), F.floor((F.col("stop2") + scope) / scope))
+    reach = F.sequence(F.floor((F.col("start2") - scope) / scope), F.floor((F.col("stop2") + scope) / scope))
     other = other.withColumn("bucket", F.explode(reach))
     near = (F.col("role") != F.col("role2")) & (F.col("start2") <= F.col("stop") + scope) & (F.col("stop2") >= F.col("start") - scope)
     pairs = weak.join(other, ["row", "bucket"]).where(near)

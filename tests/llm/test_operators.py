@@ -348,6 +348,17 @@ def test_secrets_after_a_sign_with_a_prefix_and_url_safe(spark, text, secret):
     assert secret not in secrets.redact(docs).first()["text"]
 
 
+def test_weak_parts_of_any_length(spark):
+    run = "Ab1" * 700
+    texts = [f"client_id=robot7 key {run} end", f"user_id={run} https://example.org/{'p/' * 900}?sig={run} end", f"user_id={'u' * 1500} {' ' * 150}{run}", f"{run} {' ' * 150}user_id={'u' * 1500}", f"user_id={'u' * 300}{' ' * 250}{run}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["key"]: {(k, texts[r["key"]][a:b]) for a, k, b in r["spans"]} for r in secrets.spans(docs).collect()}
+    assert (4, run) in found[0] and (4, run) in found[2] and (4, run) in found[3] and not found[4]
+    assert {(3, f"user_id={run}"), (5, f"https://example.org/{'p/' * 900}?sig={run}")} <= found[1]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[1] == "[REDACTED] [REDACTED] end" and not any("Ab1" in clean[i] for i in range(4))
+
+
 # -- 7 ----------------------------------------------------------------------------------------------
 
 
