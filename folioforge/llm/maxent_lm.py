@@ -1,16 +1,19 @@
 """Language-model scoring with a hashed, class-factored maximum-entropy model.
 
-A word belongs to one of 16 x 16 classes by its letters.  The model is
+A word belongs to one of 16 x 16 classes by its letters, and within its class to one of 16 x 16 leaves by
+its hash.  The model is
 
-    p(word | context) = p(c1 | context) p(c2 | c1, context) p(word | c1, c2)
+    p(word | context) = p(c1 | context) p(c2 | c1, context) p(c3 | c1, c2, context) p(c4 | c1 .. c3, context) p(word | leaf)
 
-The two class factors are softmaxes over hashed features of the context (the word before, the two classes
-before, and two skips: the word two before and the class three before) added to the corpus' own class
-log frequencies, so that a model without weights is the unigram model.  The last factor comes from the
-corpus' counts, with half a count for every word and for all unseen words of a class.
+All class and leaf factors are softmaxes over hashed features of the context (the word before, the two
+classes before, and two skips: the word two before and the class three before) added to the corpus' own
+log frequencies, so that a model without weights is the unigram model.  Each factor has a table of weights
+of its own, whose rows grow with the square root of the counted tokens (:func:`table_rows`); a row is a
+full mix of a feature and the factors before.  What is left to the corpus' counts alone is the word in its
+leaf, one of 65,536, with half a count for every word and for all unseen words of a leaf.
 
 Training is one pass over all training text in ``ROUNDS`` rounds.  In a round each task takes about
-``TASK_TOKENS`` tokens or more and makes adaptive gradient steps on them from the current weights; the
+``TASK_TOKENS`` tokens (128 for each row of a table, if that is more) or more and makes adaptive gradient steps on them from the current weights; the
 tasks' changes are summed by blocks of weights, and the sums alone (as large as the weights) reach the
 driver.
 
@@ -36,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import INK, LOWER, mix, no_null, pieces, stage, utf8, word_hashes, word_spans
 
 C = 16
+DEPTH = 4
+LEAVES = C**DEPTH
+#: The least rows of a table.
 ROWS = 1 << 14
 HEAD = 1 << 18
 ROUNDS = 2
@@ -46,13 +52,18 @@ BLOCKS = 16
 TASK_TOKENS = 4_000_000
 
 
+def table_rows(total: int) -> int:
+    """Rows of each factor's table for so many counted tokens: a power of two, at least twice their square root."""
+    return max(ROWS, 1 << int(np.ceil(np.log2(2 * np.sqrt(max(total, 1))))))
+
+
 def held_out(key: str = "key") -> Column:
     """crc32 of the id as text leaves 1 divided by 5."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 1, F.lit(False))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and class of every token, an end after each text's words, and the offsets of the texts in them."""
+    """Hash and leaf of every token, an end after each text's words, and the offsets of the texts in them."""
     data, off = utf8(texts)
     data = LOWER[data]
     starts, ends, first = word_spans(data, off, INK)
@@ -66,7 +77,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         y, z = data[np.maximum(ends - 2, starts)].astype(np.uint64), data[ends - 1].astype(np.uint64)
         c1 = mix((y << np.uint64(8) | z) + np.uint64(77)) & np.uint64(C - 1)
         c2 = mix((a << np.uint64(16) | b << np.uint64(8) | np.minimum(ends - starts, 12).astype(np.uint64)) + np.uint64(99)) & np.uint64(C - 1)
-        cls[at] = (c1 * np.uint64(C) + c2).astype(np.int64)
+        cls[at] = ((c1 * np.uint64(C) + c2) * np.uint64(LEAVES // C**2) + h[at] % np.uint64(LEAVES // C**2)).astype(np.int64)
     return h, cls, first + np.arange(rows + 1)
 
 
@@ -81,13 +92,13 @@ def _before(x: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
 
 
 def features(h: np.ndarray, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of the first factor's weights for each token: the word before, the two classes before, and two skips
-    (the word two before, the class three before)."""
+    """Hashes of each token's features: the word before, the two classes before, and two skips (the word two
+    before, the class three before)."""
     u = np.uint64
-    c = cls.astype(np.uint64) + u(1)
+    c = (cls // (LEAVES // C**2)).astype(np.uint64) + u(1)
     pair = _before(c, off, 1) * u(0xD6E8FEB86659FD93) + _before(c, off, 2) * u(0xCA5A826395121157)
     kinds = (_before(h, off, 1) + u(1), pair + u(2), _before(h, off, 2) + u(3), _before(c, off, 3) * u(0x9FB21C651E98DF25) + u(4))
-    return np.stack([(mix(k) & u(ROWS - 1)).astype(np.int64) for k in kinds])
+    return np.stack([mix(k) for k in kinds])
 
 
 _ONES = np.ones(C, np.float32)
@@ -102,40 +113,61 @@ def _logits(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return np.clip(x, -80, 80, out=x)
 
 
-def second(rows: np.ndarray, c1: np.ndarray) -> np.ndarray:
-    """Rows of the second factor's weights, which also depend on the first class."""
-    return (rows * C + c1[None, :] * 2654435761) & (ROWS - 1)
+def factor_rows(f: np.ndarray, before: np.ndarray, level: int, rows: int) -> np.ndarray:
+    """Rows of a factor's weights, which depend on the features' hashes and on all factors before it."""
+    u = np.uint64
+    if level:
+        f = mix(f + (before.astype(u) + u(1)) * u(0x9FB21C651E98DF25) + u(level))
+    return (f & u(rows - 1)).astype(np.int64)
+
+
+def _order(r: np.ndarray, rows: int) -> np.ndarray:
+    """A stable order of row numbers, by 16 bits at a time (numpy sorts these by radix)."""
+    order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, (rows - 1).bit_length(), 16):
+        order = order[np.argsort((r >> shift & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+    return order
 
 
 class Model:
-    """Weights of the factors and the class log frequencies."""
-
-    def __init__(self, prior1: np.ndarray, prior2: np.ndarray, w1: np.ndarray | None = None, w2: np.ndarray | None = None) -> None:
-        self.prior1, self.prior2 = prior1.astype(np.float32), prior2.astype(np.float32)
-        self.w1 = np.zeros((ROWS, C), np.float32) if w1 is None else w1
-        self.w2 = np.zeros((ROWS, C), np.float32) if w2 is None else w2
-
-    def score(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Natural log of the class factors' product for each token."""
-        out = np.empty(rows.shape[1])
-        for at in range(0, rows.shape[1], STEP):
-            f, c1, c2 = rows[:, at : at + STEP], cls[at : at + STEP] // C, cls[at : at + STEP] % C
-            i = np.arange(len(c1))
-            x, y = _logits(self.w1, f, self.prior1), _logits(self.w2, second(f, c1), self.prior2.take(c1, 0))
-            out[at : at + STEP] = x[i, c1] - np.log(np.exp(x) @ _ONES) + y[i, c2] - np.log(np.exp(y) @ _ONES)
+    """Log frequencies of each factor's outcomes (a row of C for each outcome of the factors before) and its weights."""
+
+    def __init__(self, *priors: np.ndarray, rows: int = ROWS, w: list[np.ndarray] | None = None) -> None:
+        self.priors = [np.asarray(p).reshape(-1, C).astype(np.float32) for p in priors]
+        self.w = [np.zeros((rows, C), np.float32) for _ in priors] if w is None else w
+
+    w1 = property(lambda self: self.w[0], lambda self, x: self.w.__setitem__(0, x))
+    w2 = property(lambda self: self.w[1], lambda self, x: self.w.__setitem__(1, x))
+
+    def factors(self, f: np.ndarray, cls: np.ndarray) -> Iterator[tuple]:
+        """Of each factor: its level, rows, prior and outcome."""
+        f = f.astype(np.uint64, copy=False)
+        for level, (w, prior) in enumerate(zip(self.w, self.priors)):
+            before, c = np.divmod(cls // C ** (len(self.w) - 1 - level), C)
+            yield level, factor_rows(f, before, level, len(w)), prior.take(before, 0) if level else prior[0], c
+
+    def score(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural log of the factors' product for each token."""
+        out = np.zeros(f.shape[1])
+        for at in range(0, f.shape[1], STEP):
+            part = cls[at : at + STEP]
+            i = np.arange(len(part))
+            for level, g, prior, c in self.factors(f[:, at : at + STEP], part):
+                x = _logits(self.w[level], g, prior)
+                out[at : at + STEP] += x[i, c] - np.log(np.exp(x) @ _ONES)
         return out
 
-    def train(self, rows: np.ndarray, cls: np.ndarray, state: list[np.ndarray]) -> None:
+    def train(self, f: np.ndarray, cls: np.ndarray, state: list[np.ndarray]) -> None:
         """Adaptive gradient steps on batches of tokens; state: the sums of squared gradients."""
-        for at in range(0, rows.shape[1], STEP):
-            f, c1, c2 = rows[:, at : at + STEP], cls[at : at + STEP] // C, cls[at : at + STEP] % C
-            for w, g, prior, c, s in ((self.w1, f, self.prior1, c1, state[0]), (self.w2, second(f, c1), self.prior2.take(c1, 0), c2, state[1])):
+        for at in range(0, f.shape[1], STEP):
+            for level, g, prior, c in self.factors(f[:, at : at + STEP], cls[at : at + STEP]):
+                w, s = self.w[level], state[level]
                 p = _logits(w, g, prior)
                 np.exp(p, out=p)
                 p /= (p @ _ONES)[:, None]
                 p[np.arange(len(c)), c] -= 1
                 for r in g:
-                    order = np.argsort(r.astype(np.uint16), kind="stable")
+                    order = _order(r, len(w))
                     sorted_ = r[order]
                     first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
                     grad, where = np.add.reduceat(p.take(order, 0), first), sorted_[first]
@@ -175,16 +207,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Corpus:
-    """What the counts say: total, distinct, by class; the head's hashes and counts."""
+    """What the counts say: total, distinct, by leaf; the head's hashes and counts."""
 
     def __init__(self, counts: DataFrame) -> None:
-        n, v = np.zeros(C * C), np.zeros(C * C)
-        for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most C * C rows
-            n[r["cls"]], v[r["cls"]] = r["n"], r["v"]
+        n, v = np.zeros(LEAVES), np.zeros(LEAVES)
+        by = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # at most LEAVES rows
+        n[by.column("cls").to_numpy()], v[by.column("cls").to_numpy()] = by.column("n").to_numpy(), by.column("v").to_numpy()
         self.total, self.distinct = int(n.sum()), int(v.sum())
+        self.rows = table_rows(self.total)
         self.norm = np.log10(n + 0.5 * (v + 1))
-        mass = (n + 0.5 * (v + 1)).reshape(C, C)
-        self.prior1, self.prior2 = np.log(mass.sum(1) / mass.sum()), np.log(mass / mass.sum(1, keepdims=True))
+        mass = n + 0.5 * (v + 1)
+        sums = [mass.reshape(C ** (k + 1), -1).sum(1).reshape(-1, C) for k in range(DEPTH)]
+        self.priors = [np.log(x / x.sum(1, keepdims=True)) for x in sums]
         # the count from which words are in the head, from a histogram by eighths of a power of two
         level = F.floor(F.log2("c") * 8).cast("int")
         many, self.level = 0, None
@@ -210,14 +244,14 @@ def train(src: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
     """``src``: key and text of training documents, each in one of the rounds."""
     names = ["block", "seen", "sums"]
     schema = "block int, seen bigint, sums binary"
-    model = Model(corpus.prior1, corpus.prior2)
-    squares = [np.zeros((ROWS, C), np.float32) for _ in range(2)]
+    model = Model(*corpus.priors, rows=corpus.rows)
+    squares = [np.zeros((corpus.rows, C), np.float32) for _ in model.w]
     for k in range(rounds):
-        start = (model.prior1, model.prior2, model.w1, model.w2)
+        priors, start = model.priors, model.w
         held = [x / 2 for x in squares]
 
-        def steps(batches: Iterator[pa.RecordBatch], start=start, held=held) -> Iterator[pa.RecordBatch]:
-            m = Model(start[0], start[1], start[2].copy(), start[3].copy())
+        def steps(batches: Iterator[pa.RecordBatch], priors=priors, start=start, held=held) -> Iterator[pa.RecordBatch]:
+            m = Model(*priors, w=[x.copy() for x in start])
             state, seen = [x.copy() for x in held], 0
             for part in pieces(batches, most=1 << 20):
                 h, cls, off = tokens(part.column("text"))
@@ -225,7 +259,7 @@ def train(src: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
                 seen += len(h)
             if seen:
                 # weights weighted by tokens, as they are averaged; squares as they are, as they are summed
-                change = np.concatenate(((m.w1 - start[2]) * np.float32(seen), (m.w2 - start[3]) * np.float32(seen), state[0] - held[0], state[1] - held[1])).astype("<f4").reshape(BLOCKS, -1)
+                change = np.concatenate([(a - b) * np.float32(seen) for a, b in zip(m.w, start)] + [a - b for a, b in zip(state, held)]).astype("<f4", copy=False).reshape(BLOCKS, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in change], pa.binary())], names)
 
         def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +272,17 @@ def train(src: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].astype("<f4").tobytes() for s in sums.values()], pa.binary())], names)
 
         part = src.where(F.pmod(F.xxhash64("key", F.length("text")), F.lit(rounds)) == k).select("text")
-        part = part.coalesce(1 + corpus.total // rounds // TASK_TOKENS)
+        part = part.coalesce(1 + corpus.total // rounds // max(TASK_TOKENS, 128 * corpus.rows))
         got = part.mapInArrow(steps, schema).repartition(F.col("block")).mapInArrow(total, schema).collect()  # BLOCKS rows
         if not got:
             continue
-        new = np.zeros((BLOCKS, 4 * ROWS * C // BLOCKS))
+        new = np.zeros((BLOCKS, 2 * DEPTH * corpus.rows * C // BLOCKS), np.float32)
         for r in got:
             squared = r["block"] >= BLOCKS // 2
             new[r["block"]] = np.frombuffer(r["sums"], "<f4").astype(float) / (1 if squared else r["seen"])
-        w = new.reshape(4, ROWS, C).astype(np.float32)
-        model.w1, model.w2 = model.w1 + w[0], model.w2 + w[1]
-        squares = [a + b for a, b in zip(squares, w[2:])]
+        w = new.reshape(2 * DEPTH, corpus.rows, C)
+        model.w = [a + b for a, b in zip(model.w, w[:DEPTH])]
+        squares = [a + b for a, b in zip(squares, w[DEPTH:])]
     return model
 
 

@@ -441,6 +441,26 @@ def test_model_is_a_distribution_and_learns(spark):
     assert got["s"] > 0.7 * got["b"] > got["b"]
 
 
+def test_context_tells_words_of_one_class_apart(spark):
+    """'pp000qq' .. differ in the middle alone, so that all are of one letter class; each follows its own word."""
+    rng = np.random.default_rng(4)
+    w = [f"pp{i:03}qq" for i in range(40)]
+    h, cls, _ = maxent_lm.tokens(pa.array([" ".join(w)]))
+    assert len(set((cls[:-1] // (maxent_lm.LEAVES // 256)).tolist())) == 1 and len(set(cls[:-1].tolist())) > 30
+    texts = [" ".join(w[(s + k) % 40] for k in range(80)) for s in rng.integers(0, 40, 600).tolist()]
+    got = maxent_lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert got["s"] > 0.8 * got["b"] > got["b"]
+
+
+def test_tables_grow_and_rows_are_mixed():
+    assert maxent_lm.table_rows(0) == maxent_lm.ROWS and maxent_lm.table_rows(6 * 10**9) == 1 << 18
+    f = maxent_lm.mix(np.arange(20000, dtype=np.uint64))[None, :]
+    for level in (1, 2, 3):
+        assert len(np.unique(maxent_lm.factor_rows(f, np.zeros(20000, np.int64), level, 1 << 14))) > 10000
+    r = np.random.default_rng(0).integers(0, 1 << 18, 5000)
+    assert (maxent_lm._order(r, 1 << 18) == np.argsort(r, kind="stable")).all()
+
+
 # -- 9 ----------------------------------------------------------------------------------------------
 
 
