@@ -4,8 +4,8 @@ The page becomes a tree (void elements, raw text elements and implied end tags a
 them, unclosed elements end with their parent).  Elements that are never article text go: menus,
 page headers and footers, asides, forms, scripts, notices, adverts, reader comments.  Paragraphs
 pass points for their length and commas to their ancestors, less with distance; an ancestor's score
-is discounted by its link density.  The best container is kept, and of its siblings those that score
-or read like article text.
+is discounted by its link density.  The best container is kept, widened to the outermost article (or
+else the main element) around it, and of its siblings those that score or read like article text.
 
 Text is decoded, white space inside a block is one space, blocks are joined by one newline.
 
@@ -271,14 +271,13 @@ def main_text(html: str) -> str:
     if best is None or best.score <= 0:
         best = next(iter(sorted(_find(root, ("article", "main")), key=lambda x: -x.size)), None) or next(iter(_find(root, ("body",))), root)
         return "\n".join(blocks([best]))
-    inner = next((a for a in _chain(best) if a.tag == "article"), None) or next((a for a in _chain(best) if a.tag == "main"), None)
-    if inner is not None:  # the author's own container, which also holds what its best part left out
-        best = inner
+    # the author's own container, which also holds what its best part left out; teasers and comments are pruned
+    best = next(iter([a for a in _chain(best) if a.tag == "article"][::-1]), None) or next((a for a in _chain(best) if a.tag == "main"), best)
     kept, least = [], max(10.0, 0.2 * best.score)
-    for s in best.up.kids if best.up is not None and best.up.up is not None else [best]:
+    for s in best.up.kids if best.up is not None else [best]:
         if isinstance(s, str):
             continue
-        if s is best or inner is None and (s.score >= least or s.tag == "p" and s.size > 80 and _density(s) < 0.25) or inner is None and s.tag in ("h1", "h2"):
+        if s is best or s.score >= least or s.tag == "p" and s.size > 80 and _density(s) < 0.25 or s.tag in ("h1", "h2"):
             kept.append(s)
     return "\n".join(blocks(kept))
 

@@ -75,6 +75,18 @@ def test_broken_html(html):
     assert isinstance(html_extract.main_text(html), str)
 
 
+PROSE = "Some text, quite long, with commas, and more of it. " * 5
+
+
+@pytest.mark.parametrize("html", [
+    "<body><main><article><p>{0}</p><p>{0}</p></article><article><p>{0}end</p></article></main>", "<body><article><p>{0}</p></article><article><p>{0}end</p></article>",
+    "<body><article><article><p>{0}</p><p>{0}</p></article><article><p>{0}end</p></article></article>", "<body><h1>Head</h1><article><p>{0}</p></article><div><p>{0}</p><p>{0}end</p></div>",
+])
+def test_split_articles_are_kept_whole(html):
+    got = html_extract.main_text(html.format(PROSE))
+    assert got.endswith("end") and got.count("Some text") == 5 * html.count("{0}") and got.startswith("Head") == ("h1" in html)
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE, 3), (2, None, None, 3), (None, "u", "", None), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
