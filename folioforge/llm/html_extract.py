@@ -163,28 +163,31 @@ def _unwanted(x: Node, inside: bool) -> bool:
     return not any(k.tag == "main" or k.tag == "article" and not k.names() & _NOT_ARTICLE for k in _find(x, ("main", "article")))
 
 
-def prune(x: Node, inside: bool = False) -> None:
-    inside = inside or x.tag in ("article", "main")
-    x.kids = [k for k in x.kids if isinstance(k, str) or not _unwanted(k, inside)]
-    for k in x.kids:
-        if not isinstance(k, str):
-            prune(k, inside)
+def prune(root: Node) -> None:
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or x.tag in ("article", "main")
+        x.kids = [k for k in x.kids if isinstance(k, str) or not _unwanted(k, inside)]
+        todo += [(k, inside) for k in x.kids if not isinstance(k, str)]
 
 
-def _weigh(x: Node, link: bool = False) -> None:
+def _weigh(root: Node) -> None:
     """Text size, linked text and commas of every element."""
-    link = link or x.tag == "a"
-    for k in x.kids:
-        if isinstance(k, str):
-            n = len(k.strip())
-            x.size += n
-            x.linked += n if link else 0
-            x.commas += k.count(",") + k.count("、") + k.count("，")
-        else:
-            _weigh(k, link)
-            x.size += k.size
-            x.linked += k.linked
-            x.commas += k.commas
+    order = [(root, root.tag == "a")]
+    for x, link in order:  # grows: parents before their children
+        order += [(k, link or k.tag == "a") for k in x.kids if not isinstance(k, str)]
+    for x, link in reversed(order):
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len(k.strip())
+                x.size += n
+                x.linked += n if link else 0
+                x.commas += k.count(",") + k.count("、") + k.count("，")
+            else:
+                x.size += k.size
+                x.linked += k.linked
+                x.commas += k.commas
 
 
 def _density(x: Node) -> float:
@@ -263,8 +266,6 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     root = parse(html)
-    if (deep := _flatten(root)) is not None:
-        return "\n".join(blocks([deep]))
     prune(root)
     _weigh(root)
     best = _score(root)
@@ -282,24 +283,6 @@ def main_text(html: str) -> str:
     return "\n".join(blocks(kept))
 
 
-def _flatten(root: Node, most: int = 400) -> Node | None:
-    """The root if the tree is nested too deep to be walked by recursion, without its unwanted parts; else nothing."""
-    todo, deep = [(root, 0)], False
-    while todo:
-        x, d = todo.pop()
-        deep |= d > most
-        todo += [(k, d + 1) for k in x.kids if not isinstance(k, str)]
-    if not deep:
-        return None
-    todo = [(root, False)]
-    while todo:
-        x, inside = todo.pop()
-        inside = inside or x.tag in ("article", "main")
-        x.kids = [k for k in x.kids if isinstance(k, str) or not _unwanted(k, inside)]
-        todo += [(k, inside) for k in x.kids if not isinstance(k, str)]
-    return max(_find(root, ("article", "main")) or [root], key=lambda x: len(x.kids))
-
-
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text of every row."""
 

@@ -87,6 +87,13 @@ def test_split_articles_are_kept_whole(html):
     assert got.endswith("end") and got.count("Some text") == 5 * html.count("{0}") and got.startswith("Head") == ("h1" in html)
 
 
+def test_deep_pages_are_scored():
+    links = "<ul>" + "<li><a href=x>Some other page of the site, linked</a>" * 20 + "</ul>"
+    html = f"<body><div>{links}</div><div id=text><p>{PROSE}</p><p>{PROSE}</p>" + "<div><span>" * 600 + f"<p>{PROSE}</p>"
+    got = html_extract.main_text(html)
+    assert "other page" not in got and got.count("Some text") == 15
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE, 3), (2, None, None, 3), (None, "u", "", None), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
