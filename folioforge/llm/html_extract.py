@@ -7,6 +7,9 @@ pass points for their length and commas to their ancestors, less with distance;
 is discounted by its link density.  The best container is kept, widened to the outermost article (or
 else the main element) around it, and of its siblings those that score or read like article text.
 
+Captions are blocks; formulas (without their annotations, which are not shown) and the fallback text of
+media elements are text like any other.  Drawings (svg) are not text.
+
 Text is decoded, white space inside a block is one space, blocks are joined by one newline.
 
 Defined cases: null or empty html gives an empty text; a page cut anywhere ends there; a page
@@ -36,10 +39,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-_GONE = frozenset("nav aside form button select dialog menu object video audio canvas figcaption head".split())
+_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
+_GONE = frozenset("nav aside form button select dialog menu annotation annotation-xml head".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"li", "dd", "dt"}
 #: Starting one of these ends an open one of those, unless an element of the third kind lies between.
@@ -103,7 +106,7 @@ def parse(html: str) -> Node:
                 here = x.up
             continue
         if name in _RAW:
-            if not attrs.endswith("/") or name not in ("svg", "math"):
+            if not attrs.endswith("/") or name != "svg":
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue

@@ -94,6 +94,13 @@ def test_deep_pages_are_scored():
     assert "other page" not in got and got.count("Some text") == 15
 
 
+def test_captions_formulas_and_fallback_text_are_kept():
+    html = f"<article><p>{PROSE}So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>x=2</annotation></semantics></math> holds.</p><figure><img src=a><figcaption>A caption.</figcaption></figure>"
+    html += "".join(f"<p><{m}>Text of {m}.</{m}></p>" for m in ("object", "video", "audio", "canvas")) + "</article>"
+    assert html_extract.main_text(html).split("\n")[0].endswith("So x=2 holds.")
+    assert html_extract.main_text(html).split("\n")[1:] == ["A caption.", "Text of object.", "Text of video.", "Text of audio.", "Text of canvas."]
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE, 3), (2, None, None, 3), (None, "u", "", None), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
