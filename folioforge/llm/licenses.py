@@ -126,11 +126,9 @@ def _hash(words: list[str]) -> np.ndarray:
 
 @cache
 def _gate() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that a place to look at must have: the phrases' first words and the templates' rarest mandatory one."""
-    need = {p.split()[-1] for p, _ in PHRASES}
-    for _, a in automata():
-        must = [w for k, w in enumerate(a.step) if w and a.need[k + 1] > a.need[k]]
-        need.add(max(must, key=len))
+    """Hashes of the words of which a text to look at has one: the phrases' last words and the templates' possible first
+    ones, without which no phrase and no part of a template is there."""
+    need = {p.split()[-1] for p, _ in PHRASES}.union(*(a.first for _, a in automata()))
     value = np.sort(_hash(sorted(need)))
     gate = np.zeros(1 << 16, bool)
     gate[(value & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -161,7 +159,7 @@ def scan(words: list[str]) -> tuple[list[int], set[str], set[str], float]:
 
 
 def scan_texts(texts: pa.Array) -> tuple[np.ndarray, list]:
-    """The number of words of each text, and :func:`scan`'s result for those with a word that any match needs."""
+    """The number of words of each text, and :func:`scan`'s result for those with a word that any match, whole or in part, needs."""
     data, off = utf8(texts)
     data = LOWER[data]
     starts, ends, first = word_spans(data, off, ALNUM)

@@ -530,6 +530,12 @@ def test_templates(text, label):
     assert found == ({label} if label else set()) and (score == 1.0) == bool(label) and 0 <= score <= 1
 
 
+@pytest.mark.parametrize("text", ["This Source Code Form is", "All rights", "made under the terms of the", "GNU Affero", "no such word"])
+def test_incomplete_templates_have_the_score_of_a_scan(text):
+    found = licenses.scan_texts(pa.array([text]))[1][0] or ([], set(), set(), 0.0)
+    assert found == licenses.scan(words(text, ALNUM)) and (found[3] > 0) == (text != "no such word")
+
+
 def test_automaton_regions():
     a = licenses.Automaton("a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> d <<var;most=2>> e")
     assert all(a.run(w.split(), 0)[0] for w in ("a d e", "a b d e", "a b c d e", "a d x e", "a d x y e", "a d x y e z"))
