@@ -1,6 +1,7 @@
 """License scans by template-markup matching.
 
-A template is a license's wording with markup: ``<<beginOptional>> ... <<endOptional>>`` around words
+A template is a whole license, its granting sentence, or the line by which a work names it, with markup:
+``<<beginOptional>> ... <<endOptional>>`` around words
 that may be absent, and ``<<var;most=N>>`` for a region of up to N words that may be replaced.  It is
 compiled to an automaton over words; the automaton is started at every place of a text where one of
 its possible first words stands, and accepts where all mandatory words have matched exactly in order.
@@ -9,7 +10,8 @@ Beside that the base phrases are found wherever their words stand consecutively.
 
 Defined cases: a null or wordless text has no words, no places (first_word and last_word are null),
 no labels and score 0; repeated rows are judged each on its own; an empty table gives an empty
-result; further columns are not read; whole texts are searched, whatever their length.
+result; further columns are not read; whole texts are searched, whatever their length.  Words beside a
+license change nothing in what is found.
 """
 
 from __future__ import annotations
@@ -24,94 +26,170 @@ from pyspark.sql import DataFrame
 
 from .common import ALNUM, LOWER, no_null, pieces, utf8, word_hashes, word_spans
 
+_LOW = {c: c + 32 for c in range(65, 91)}
+
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Wording of the licenses' own notices, with the markup above.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<var;most=8>> to deal in the <<var;most=3>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
-    ("mit", "<<beginOptional>>this <<var;most=4>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> mit license"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "apache license <<beginOptional>>version<<endOptional>> 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", "<<beginOptional>>this <<var;most=4>> is<<endOptional>> licensed under the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> version <<var;most=1>>"),
-    ("gpl", "under the terms of the gnu general public license"),
-    ("lgpl", "gnu <<beginOptional>>library or<<endOptional>> lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under <<beginOptional>>a<<endOptional>> cc by nc <<var;most=2>>"),
-    ("cc-by-nc", "creative commons attribution <<beginOptional>>non commercial<<endOptional>> noncommercial <<var;most=2>> license"),
-    ("cc-by-sa", "licensed under <<beginOptional>>a<<endOptional>> cc by sa <<var;most=2>>"),
-    ("cc-by", "licensed under <<beginOptional>>a<<endOptional>> cc by 4 0"),
-    ("cc0", "cc0 1 0 universal"),
-    ("all-rights-reserved", "all rights reserved"),
+#: The whole wording of licenses and of the notices that are to stand in files, with the markup above.
+LICENSES = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;most=8>> to deal in the <<var;most=3>> without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+<<var;most=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL <<var;most=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("0bsd", """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND
+<<var;most=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=8>> BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;most=1>> Redistributions of source
+code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;most=1>> Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;most=1>> Redistributions of source
+code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;most=1>> Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<var;most=1>> Neither the name of <<var;most=12>> may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY <<var;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will <<var;most=8>> be held liable for any damages arising from the use of this software. Permission is
+granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<var;most=1>> The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. <<var;most=1>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<var;most=1>> This notice may not be removed or altered from
+any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form
+or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("boost", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE
+IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL <<var;most=8>> BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;most=4>> except in compliance with the License. You may obtain a copy of the License at <<var;most=8>>
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <<var;most=1>>
+of the License, or (at your option) any later version. <<var;most=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("lgpl", """is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version
+<<var;most=2>> of the License, or (at your option) any later version. <<var;most=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("agpl", """is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version
+<<var;most=1>> of the License, or (at your option) any later version. <<var;most=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"""),
+)
+
+#: The sentence in which a license grants its rights, and the lines by which a work names its license.
+NOTICES = (
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;most=8>> to deal in the <<var;most=3>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"),
+    ("isc", "Permission to use, copy, modify, and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit", "Licensed under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
+    ("mit", "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Released under the Apache License <<beginOptional>>Version<<endOptional>> 2.0"),
+    ("apache-2.0", "Apache License <<beginOptional>>Version<<endOptional>> 2.0"),
+    ("gpl", "Licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>, version <<var;most=1>><<endOptional>>"),
+    ("gpl", "under the terms of the GNU General Public License"),
+    ("lgpl", "GNU <<beginOptional>>Library or<<endOptional>> Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("mpl-2.0", "Mozilla Public License <<beginOptional>>Version<<endOptional>> <<beginOptional>>v<<endOptional>> 2.0"),
+    ("cc-by-nc", "Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY-NC <<var;most=2>>"),
+    ("cc-by-nc", "Creative Commons Attribution <<beginOptional>>Non-Commercial<<endOptional>> <<beginOptional>>NonCommercial<<endOptional>> <<var;most=2>> License"),
+    ("cc-by-sa", "Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY-SA <<var;most=2>>"),
+    ("cc-by", "Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY 4.0"),
+    ("cc0", "CC0 1.0 <<beginOptional>>Universal<<endOptional>>"),
+    ("all-rights-reserved", "All rights reserved"),
 )
+TEMPLATES = LICENSES + NOTICES
 
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;most=(\d+))>>|([^\s<]+)")
+#: Fewer mandatory words than that are no evidence of an incomplete template: "all of us" is not a third of a notice.
+LEAST = 2
+
+_MARK = re.compile(r"<<(beginoptional|endoptional|var;most=(\d+))>>|([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")
 
 
 class Automaton:
-    """States 0 .. end; from a state, a word leads on (``step``), any word does (``any``), or nothing is read (``skip``)."""
+    """States 0 .. end, held as bits: from a state, a word leads on (``on``), any word does (``any``), or nothing is
+    read (``open``: all states that are reached so)."""
 
     def __init__(self, markup: str) -> None:
-        self.step: list[str | None] = []
-        self.any: list[bool] = []
-        self.skip: list[list[int]] = [[]]
+        step: list[str | None] = []
+        skip: list[list[int]] = [[]]
         opened: list[int] = []
         self.need = [0]
-        depth = 0
 
         def add(word: str | None) -> None:
-            self.step.append(word)
-            self.any.append(word is None)
-            self.skip.append([])
-            self.need.append(self.need[-1] + (word is not None and not depth))
-
-        for mark, most, word in _MARK.findall(markup):
-            if word:
-                add(word)
-            elif most:
-                start = len(self.step)
-                for _ in range(int(most)):
+            step.append(word)
+            skip.append([])
+            self.need.append(self.need[-1] + (word is not None and not opened))
+
+        low, at = markup.translate(_LOW), 0
+        for m in _MARK.finditer(low):
+            if "<<" in low[at : m.start()]:
+                raise ValueError(f"unknown mark: {markup[at : m.end()]}")
+            at = m.end()
+            if m[3]:
+                add(m[3])
+            elif m[2]:
+                start = len(step)
+                for _ in range(int(m[2])):
                     add(None)
-                for k in range(start, len(self.step)):
-                    self.skip[k].append(len(self.step))
-            elif mark == "beginOptional":
-                opened.append(len(self.step))
-                depth += 1
+                for k in range(start, len(step)):
+                    skip[k].append(len(step))
+            elif m[1] == "beginoptional":
+                opened.append(len(step))
+            elif opened:
+                skip[opened.pop()].append(len(step))
             else:
-                self.skip[opened.pop()].append(len(self.step))
-                depth -= 1
-        if opened or depth:
+                raise ValueError(f"unbalanced markup: {markup}")
+        if opened:
             raise ValueError(f"unbalanced markup: {markup}")
-        self.end = len(self.step)
-        self.first = {self.step[s] for s in self.closure({0}) if s < self.end}
-        if None in self.first or self.end in self.closure({0}):
+        self.end = len(step)
+        self.open = [1 << s for s in range(self.end + 1)]
+        for s in range(self.end, -1, -1):
+            for t in skip[s]:
+                self.open[s] |= self.open[t]
+        self.skips = sum(1 << s for s in range(self.end + 1) if skip[s])
+        self.any = sum(1 << s for s, w in enumerate(step) if w is None)
+        self.on: dict[str, int] = {}
+        for s, w in enumerate(step):
+            if w is not None:
+                self.on[w] = self.on.get(w, 0) | 1 << s
+        if self.open[0] & (self.any | 1 << self.end):
             raise ValueError(f"a template must begin with a word: {markup}")
+        self.first = {w for w, states in self.on.items() if states & self.open[0]}
 
-    def closure(self, states: set[int]) -> set[int]:
-        todo, out = list(states), set(states)
-        while todo:
-            for t in self.skip[todo.pop()]:
-                if t not in out:
-                    out.add(t)
-                    todo.append(t)
-        return out
-
-    def run(self, words: list[str], at: int) -> tuple[bool, float]:
-        """Whether the template matches from there, and the share of its mandatory words that do."""
-        states, most = self.closure({0}), 0
+    def run(self, words: list[str], at: int) -> tuple[bool, int]:
+        """Whether the template matches from there, and how many of its mandatory words do."""
+        states, top = self.open[0], 0
         while states:
-            most = max(most, max(self.need[s] for s in states))
-            if self.end in states:
-                return True, 1.0
+            top = max(top, states.bit_length() - 1)  # no later state has fewer mandatory words behind it
+            if states >> self.end:
+                return True, self.need[-1]
             if at == len(words):
                 break
-            w = words[at]
-            states = self.closure({s + 1 for s in states if self.any[s] or self.step[s] == w})
+            states = (states & (self.on.get(words[at], 0) | self.any)) << 1
+            more = states & self.skips
+            while more:
+                low = more & -more
+                states |= self.open[low.bit_length() - 1]
+                more ^= low
             at += 1
-        return False, most / max(self.need[-1], 1)
+        return False, self.need[top]
 
 
 @cache
@@ -127,7 +205,7 @@ def _hash(words: list[str]) -> np.ndarray:
 @cache
 def _gate() -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of which a text to look at has one: the phrases' last words and the templates' possible first
-    ones, without which no phrase and no part of a template is there."""
+    ones.  Where none is, no phrase stands, no automaton is ever started, and :func:`scan` gives nothing and 0."""
     need = {p.split()[-1] for p, _ in PHRASES}.union(*(a.first for _, a in automata()))
     value = np.sort(_hash(sorted(need)))
     gate = np.zeros(1 << 16, bool)
@@ -136,7 +214,8 @@ def _gate() -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(words: list[str]) -> tuple[list[int], set[str], set[str], float]:
-    """Starts of the base phrases, their labels, the templates' labels, and the best template's share of mandatory words."""
+    """Starts of the base phrases, their labels, the templates' labels, and the score: 1 with a template's label, else the
+    best share of a template's mandatory words, of which ``LEAST`` must stand in order."""
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         where.setdefault(w, []).append(i)
@@ -148,13 +227,16 @@ def scan(words: list[str]) -> tuple[list[int], set[str], set[str], float]:
         if found:
             base.add(label)
     for label, a in automata():
-        for w in a.first:
-            for i in where.get(w, ()):
-                full, share = a.run(words, i)
-                best = max(best, share)
-                if full:
-                    more.add(label)
-                    break
+        if label in more:
+            continue
+        for i in sorted(i for w in a.first for i in where.get(w, ())):
+            full, matched = a.run(words, i)
+            if full:
+                more.add(label)
+                best = 1.0
+                break
+            if matched >= LEAST:
+                best = max(best, matched / a.need[-1])
     return sorted(places), base, more, best
 
 

@@ -536,6 +536,73 @@ def test_incomplete_templates_have_the_score_of_a_scan(text):
     assert found == licenses.scan(words(text, ALNUM)) and (found[3] > 0) == (text != "no such word")
 
 
+def whole(markup):
+    """A license's text: all optional wording, two words in every replaceable region."""
+    return re.sub(r"<<(?:begin|end)Optional>>", " ", re.sub(r"<<var;most=(\d+)>>", lambda m: " Acme Corp " if int(m[1]) > 1 else " 1. ", markup))
+
+
+@pytest.mark.parametrize("label, markup", licenses.TEMPLATES)
+def test_whole_licenses(label, markup):
+    w = words("Some words before. " + whole(markup) + " And after.", ALNUM)
+    _, _, found, score = licenses.scan(w)
+    assert label in found and score == 1.0
+    if (label, markup) in licenses.LICENSES and label not in {k for k, _ in licenses.NOTICES}:
+        core = words(whole(markup), ALNUM)
+        for at in (len(core) // 3, 2 * len(core) // 3):  # one mandatory word is another
+            bad = core[:at] + ["xxzzy"] + core[at + 1 :]
+            if core[at] not in ("acme", "corp", "1"):
+                assert label not in licenses.scan(bad)[2]
+
+
+def test_words_beside_a_license_change_nothing():
+    for text in ("All rights were given to them", "permission is hereby granted, free", "all of us met", "redistribution and use in source", "licensed under the Apache", "this source code form is"):
+        alone = licenses.scan_texts(pa.array([text]))[1][0] or ([], set(), set(), 0.0)
+        for beside in ("under a license {}", "{} with license", "restriction license mit {}: all things"):
+            assert (licenses.scan_texts(pa.array([beside.format(text)]))[1][0])[2:] == alone[2:]
+    assert licenses.scan(words("all of us met with license", ALNUM))[3] == 0
+
+
+def slow_templates(w):
+    """Labels and score by one regular expression for each template and each number of its mandatory words."""
+    line, found, best = " " + " ".join(w) + " ", set(), 0.0
+    for label, markup in licenses.TEMPLATES:
+        tokens = [(m[1] or m[2], m[3]) for m in re.finditer(r"<<(?:(\w+optional)|var;most=(\d+))>>|([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)", markup.translate(LOW))]
+        need, depth = [], 0
+        for i, (mark, word) in enumerate(tokens):
+            depth += {"beginoptional": 1, "endoptional": -1}.get(mark, 0)
+            if word and not depth:
+                need.append(i)
+
+        def regex(upto):
+            out = ""
+            for mark, word in tokens[:upto]:
+                out += re.escape(word) + " " if word else "(?:" if mark == "beginoptional" else ")?" if mark == "endoptional" else rf"(?:\S+ ){{0,{mark}}}"
+            return re.compile("(?<= )" + out)
+
+        many = 0
+        while many < len(need) and regex(need[many] + 1).search(line):
+            many += 1
+        if regex(len(tokens)).search(line):
+            found.add(label)
+        elif many >= licenses.LEAST:
+            best = max(best, many / len(need))
+    return found, 1.0 if found else best
+
+
+def test_templates_by_brute_force():
+    rng = np.random.default_rng(6)
+    markups = [m for _, m in licenses.TEMPLATES]
+    for _ in range(150):
+        w = words(whole(markups[rng.integers(len(markups))]), ALNUM)
+        a, b = sorted(rng.integers(0, len(w) + 1, 2).tolist())
+        text = words("we all use this software license under " * int(rng.integers(3)), ALNUM) + (w[a:b] if rng.random() < 0.6 else w[: b + 1]) + words(whole(markups[rng.integers(len(markups))]), ALNUM)[: int(rng.integers(40))]
+        if rng.random() < 0.4 and text:
+            text[int(rng.integers(len(text)))] = "all"
+        _, _, found, score = licenses.scan(text)
+        want, best = slow_templates(text)
+        assert found == want and abs(score - best) < 1e-12
+
+
 def test_automaton_regions():
     a = licenses.Automaton("a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> d <<var;most=2>> e")
     assert all(a.run(w.split(), 0)[0] for w in ("a d e", "a b d e", "a b c d e", "a d x e", "a d x y e", "a d x y e z"))

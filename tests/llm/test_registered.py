@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from folioforge.llm import licenses, quality, queries
-from test_operators import ALNUM, base_spans, classes, contaminated, expected_ids, slow_fingerprint, words
+from test_operators import ALNUM, base_spans, classes, contaminated, expected_ids, slow_fingerprint, slow_templates, whole, words
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,7 @@ def sf(tmp_path_factory):
     texts += [texts[i] for i in (3, 3, 5)] + [texts[7] + " once", texts[8].replace(" ", "  "), None, "", "a", " \n"]
     texts += [prose(60) + " " + items[k] + " " + prose(20) for k in range(6)] + [prose(900) + " " + items[7][:120]]
     texts += [prose(30) + "\npassword=" + "0a1b2c" * 5 + " " + prose(20), "token: 'abcdefgh' AKIA" + "Z" * 16 + " " + prose(25), prose(25) + "\nLicensed under the Apache License, Version 2.0.", "MIT license. " + prose(30)]
+    texts += [prose(30) + "\n" + whole(m) + prose(5) for _, m in licenses.LICENSES[:5]] + [prose(40) + "\n" + whole(m)[:300] for _, m in licenses.LICENSES[3:9]] + ["all rights were given to them, all " + prose(30), "license " + prose(30) + " all of us"]
     texts += [" ".join(w + "###" for w in rng.choice(vocabulary, 80)) for _ in range(12)] + ["same words again and again and then more " * 12]
     n = len(texts)
     base = tmp_path_factory.mktemp("sf")
@@ -152,6 +153,10 @@ def test_op10(spark, sf):
     assert {tuple(r.values())[:6] for r in got} == want
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
     assert any("apache-2.0" in r["labels"] for r in got)
+    text = dict(sf[1])
+    for r in got:
+        found, score = slow_templates(words(text[r["doc_id"]], ALNUM))
+        assert set(filter(None, r["labels"].split(","))) == found | set(filter(None, r["base_labels"].split(","))) and abs(r["score"] - score) < 1e-12
 
 
 def test_pipeline(spark, sf):
