@@ -3,8 +3,10 @@
 A BPE vocabulary splits a text into pre-tokens first and merges inside each of them, so the ids of a
 text are the joined ids of its pre-tokens.  :class:`MemoEncoder` keeps the ids of pre-tokens it has
 seen (bounded by ``max_entries``, begun anew when full) and hands only unseen ones to the tokenizer.
-A text outside the alphabet for which the split is reproduced here (Latin letters up to U+024F) goes
-to the tokenizer as it is, so the ids are the tokenizer's own for every text.
+A text outside the alphabet for which the split is reproduced here (Latin letters up to U+024F), or with
+the string of an added token in it, goes to the tokenizer as it is, so the ids are the tokenizer's own
+for every text: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``, which
+gives such a string its token's id.  With ``special_as_text`` it is encoded like any other text.
 """
 
 from __future__ import annotations
@@ -60,12 +62,15 @@ class _Memo(dict):
 class MemoEncoder:
     """``encode(text)`` returns the ids of the whole text as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, max_entries: int = 600_000, width: int = 4) -> None:
+    def __init__(self, path: str, max_entries: int = 600_000, width: int = 4, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else self.tokenizer.get_added_tokens_decoder().values()
+        #: Strings of added tokens that are looked for in the text, and those that are in its normalised form.
+        self.added, self.added_low = [t.content for t in added if not t.normalized], [t.content.lower() for t in added if t.normalized]
         if self.tokenizer.get_vocab_size() > 1 << 8 * width:
             raise ValueError(f"the vocabulary's ids do not fit {width} bytes")
         self.kind, self.dtype = ("H", "<u2") if width == 2 else ("I", "<u4")
@@ -92,12 +97,12 @@ class MemoEncoder:
         return re.compile(pattern.replace("{L}", _LETTERS).replace("{N}", _NUMBERS)).findall
 
     def encode(self, text: str) -> bytes:
-        if self.split is None or _OUTSIDE.search(text):
+        if self.split is None or _OUTSIDE.search(text) or any(x in text for x in self.added) or self.added_low and any(x in text.lower() for x in self.added_low):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join(map(self.memo.__getitem__, self.split(text.lower() if self.lower else text)))
 
 
 @lru_cache(maxsize=1)
-def shared(job: str, path: str, max_entries: int = 600_000, width: int = 4) -> MemoEncoder:
+def shared(job: str, path: str, max_entries: int = 600_000, width: int = 4, special_as_text: bool = False) -> MemoEncoder:
     """The encoder that one job's tasks share in a Python worker; another job begins with nothing."""
-    return MemoEncoder(path, max_entries, width)
+    return MemoEncoder(path, max_entries, width, special_as_text)

@@ -140,10 +140,10 @@ def _cutter(encoder: tuple, end_id: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 0, key: str = "doc_id", text: str = "text", memo: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 0, key: str = "doc_id", text: str = "text", memo: int = 600_000, special_as_text: bool = False) -> DataFrame:
     """Per piece: key, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset."""
     src = no_null(docs, key, text)
-    cut = stage(src.mapInArrow(_cutter((uuid.uuid4().hex, vocabulary, memo), end_id, window), "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, number bigint"), "pieces")
+    cut = stage(src.mapInArrow(_cutter((uuid.uuid4().hex, vocabulary, memo, 4, special_as_text), end_id, window), "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, number bigint"), "pieces")
     counts = stage(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     whole = histogram.pop(window, 0)
