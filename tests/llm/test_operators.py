@@ -5,11 +5,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from folioforge.llm import chat_format, decontaminate, golay, html_extract, licenses, maxent_lm, memo_bpe, packing, quality, queries, secrets, simhash, token_store
 from folioforge.llm.components import components
@@ -109,19 +111,28 @@ def test_html_query(spark):
 
 # -- 2, 5 -------------------------------------------------------------------------------------------
 
+MARKED = ["a <|endoftext|> b", "<|startoftext|>x<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "x <|endof text|> <|startoftext|", " <|startoftext|> \n"]
+
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_gives_the_tokenizers_ids(name):
     for most in (2, 1000):
         for width in (2, 4):
-            enc = memo_bpe.MemoEncoder(queries.vocabulary(name), most, width)
-            for t in [x for x in TEXTS if x is not None] * 2:
-                assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+            for special in (False, True):
+                enc = memo_bpe.MemoEncoder(queries.vocabulary(name), most, width, special)
+                own = Tokenizer.from_file(queries.vocabulary(name))
+                own.encode_special_tokens = special
+                for t in [x for x in [*TEXTS, *MARKED] if x is not None] * 2:
+                    assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+@cache
+def library(name):
+    return Tokenizer.from_file(queries.vocabulary(name))
 
 
 def expected_ids(text, name, end):
-    enc = memo_bpe.MemoEncoder(queries.vocabulary(name))
-    return enc.tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return library(name).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_packing(docs, none):
@@ -193,6 +204,35 @@ def test_token_store(docs, none):
     assert token_store.read_tokens(token_store.write_tokens(none, queries.vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_a_store_is_opened_by_another_session(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/store"
+    written = token_store.write_tokens(docs, queries.vocabulary("word_bpe_49k.json"), path=path)
+    again = token_store.open_store(spark.newSession(), path)
+    read = lambda store: sorted((r["start"], bytes(r["ids"])) for r in token_store.read_tokens(store).collect())
+    assert read(again) == read(written) and len(read(again)) == docs.count() and again.end_id == 1
+    # without Spark: the three tables' files alone
+    meta, shards = pq.read_table(f"{tmp_path}/store/meta").to_pylist()[0], pq.read_table(f"{tmp_path}/store/shards").column("shard").to_pylist()
+    got = Counter()
+    for shard in shards:
+        _, _, _, keys, *_ = token_store.open_shard(shard, meta["dictionary"])
+        got.update((k, token_store.read_document(shard, meta["dictionary"], i).astype("<u4").tobytes()) for i, k in enumerate(keys))
+    assert got == Counter((k, np.array(expected_ids(t, "word_bpe_49k.json", 1), "<u4").tobytes()) for k, t in all_rows(docs))
+    with pytest.raises(Exception):
+        token_store.write_tokens(docs, queries.vocabulary("word_bpe_49k.json"), path=path)
+
+
+def test_one_id_is_dealt_to_many_tasks(spark):
+    docs = spark.createDataFrame([(7, "the same text of one id")] * 3000 + [(None, "no id " + str(i % 9)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store = token_store.write_tokens(docs, queries.vocabulary("word_bpe_49k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    most = max(r["n"] for r in store.shards.groupBy("part").agg(F.sum("n_docs").alias("n")).collect())
+    got = sorted((r["start"], r["n_tokens"]) for r in token_store.read_tokens(store).collect())
+    assert most < 4000 and len(got) == 6000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
 # -- 3 ----------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,7 @@ def sf(tmp_path_factory):
     texts += [prose(30) + "\npassword=" + "0a1b2c" * 5 + " " + prose(20), "token: 'abcdefgh' AKIA" + "Z" * 16 + " " + prose(25), prose(25) + "\nLicensed under the Apache License, Version 2.0.", "MIT license. " + prose(30)]
     texts += [prose(30) + "\n" + whole(m) + prose(5) for _, m in licenses.LICENSES[:5]] + [prose(40) + "\n" + whole(m)[:300] for _, m in licenses.LICENSES[3:9]] + ["all rights were given to them, all " + prose(30), "license " + prose(30) + " all of us"]
     texts += [" ".join(w + "###" for w in rng.choice(vocabulary, 80)) for _ in range(12)] + ["same words again and again and then more " * 12]
+    texts += ["a <|endoftext|> b " + prose(30), prose(25) + "<|startoftext|><|endoftext|>"]
     n = len(texts)
     base = tmp_path_factory.mktemp("sf")
     put = lambda name, **cols: pq.write_table(pa.table(cols), f"{base}/{name}.parquet")
