@@ -111,13 +111,13 @@ _SAID = "<|im_end|><|im_start|>assistant ok"
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT item_id, ws, least(13, len(ws)) AS m FROM b WHERE len(ws) > 0), unnest(generate_series(1, len(ws) - m + 1)) AS t(i)),
 size AS (SELECT DISTINCT m FROM win),
 dw AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM d, size, unnest(generate_series(1, len(ws) - m + 1)) AS t(i)),
 hit AS (SELECT doc_id, item_id, i, dw.m FROM dw JOIN win ON dw.m = win.m AND dw.g = win.g),
 n AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM hit, unnest(generate_series(i, i + m - 1)) AS t(w) GROUP BY doc_id),
-k AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hit) GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op9_chat_format": f"""

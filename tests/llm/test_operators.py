@@ -250,14 +250,14 @@ def contaminated(docs, items):
             for i in range(len(w) - m + 1):
                 if x := d.get(tuple(w[i : i + m])):
                     hit.update(range(i, i + m))
-                    found |= x
+                    found |= x - {None}
         out.append((k, len(w), len(hit), tuple(sorted(found))))
     return out
 
 
 @pytest.mark.parametrize("block", [10, 1 << 20])
 def test_decontamination(spark, docs, none, block):
-    items = [(1, TEXTS[4]), (2, "zzz " + " ".join(f"w{i}" for i in range(100, 130))), (3, None), (4, "..."), (5, "漢字"), (1, TEXTS[4]), (6, "one Two three one"), (7, "wörd one two three " * 5)]
+    items = [(1, TEXTS[4]), (2, "zzz " + " ".join(f"w{i}" for i in range(100, 130))), (3, None), (4, "..."), (5, "漢字"), (1, TEXTS[4]), (6, "one Two three one"), (7, "wörd one two three " * 5), (None, "w200 w201 w202"), (8, "w201"), (9, "w201"), (10, "w201 w202"), (11, "w7 " * 3)]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_words int")
     key = lambda r: tuple((x is not None, x) for x in r[:3])
     got = [(r["key"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), tuple(sorted(r["items"]))) for r in decontaminate.matches(docs, bench, block_chars=block).collect()]
@@ -275,7 +275,9 @@ def test_suffix_search_finds_the_longest():
     vocabulary = [f"t{i}" for i in range(6)]
     text = " ".join(rng.choice(vocabulary, 400))
     items = [(i, " ".join(rng.choice(vocabulary, 9))) for i in range(10)]
-    got = decontaminate.shard(pa.array([text]), decontaminate.Items(items, 4))[3][0]
+    shard = decontaminate.Shard(pa.array([text]))
+    shard.match(decontaminate.Items(items, 4))
+    got = [x for _, _, found in shard.batches() for x in found.to_pylist()][0]["longest"]
     w, most = text.split(), 0
     for _, t in items:
         q = t.split()
@@ -288,6 +290,48 @@ def test_suffix_search_finds_the_longest():
     assert w[got["doc_word"] : got["doc_word"] + most] == q
 
 
+def test_decontamination_by_brute_force():
+    """Few words, so that windows of all widths repeat and nest; in one block or many, spread out at once or row by row."""
+    rng = np.random.default_rng(12)
+    for trial in range(30):
+        vocabulary = [f"t{i}" for i in range(int(rng.integers(1, 5)))]
+        text = lambda n: " ".join(rng.choice(vocabulary, n))
+        items = [(None if i % 5 == 4 else i // 2, text(int(rng.integers(0, 30)))) for i in range(8)]
+        docs_ = [(i, text(int(rng.integers(0, 60)))) for i in range(6)]
+        for many in (1, len(items)):
+            shard = decontaminate.Shard(pa.array([t for _, t in docs_]))
+            for at in range(0, len(items), len(items) // many):
+                shard.match(decontaminate.Items(items[at : at + len(items) // many], 13))
+            got = [x for a, b, found in shard.batches() for x in found.to_pylist()]
+            want = contaminated(docs_, items)
+            assert [(k, x["n_words"], sum(s["end"] - s["start"] for s in x["spans"]), tuple(x["items"])) for (k, _), x in zip(docs_, got)] == want, trial
+            for (_, t), x in zip(docs_, got):
+                w, most = t.split(), 0
+                for _, u in items:
+                    q = u.split()
+                    for i in range(len(q)):
+                        for n in range(min(13, len(q)), len(q) - i + 1):
+                            if n > most and any(w[j : j + n] == q[i : i + n] for j in range(len(w) - n + 1)):
+                                most = n
+                assert (x["longest"] or {"n_words": 0})["n_words"] == most
+
+
+def test_many_items_of_one_common_word_take_bounded_memory():
+    import resource
+    import time
+
+    items = decontaminate.Items([(i, "the") for i in range(1000)] + [(2000 + i, "the the the") for i in range(1000)], 13)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    shard = decontaminate.Shard(pa.array(["the " * 200_000] + ["a word of the text"] * 500))
+    shard.match(items)
+    rows_, n = 0, 0
+    for a, b, found in shard.batches():
+        rows_ += b - a
+        n += len(found.field("items").flatten())
+    assert rows_ == 501 and n == 2000 + 500 * 1000 and shard.hit.sum() == 200_500
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000 and time.time() - began < 30
+
+
 # -- 4 ----------------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ def sf(tmp_path_factory):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéß"), rng.integers(2, 8))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choice(vocabulary, n)).capitalize()
-    items = [prose(30) for _ in range(12)] + ["short item here", None]
+    items = [prose(30) for _ in range(12)] + ["short item here", None, ""]
     texts: list = [prose(int(rng.integers(25, 400))) + ".\n" + prose(40) for _ in range(60)]
     texts += [texts[i] for i in (3, 3, 5)] + [texts[7] + " once", texts[8].replace(" ", "  "), None, "", "a", " \n"]
     texts += [prose(60) + " " + items[k] + " " + prose(20) for k in range(6)] + [prose(900) + " " + items[7][:120]]
@@ -34,11 +34,13 @@ def sf(tmp_path_factory):
     put = lambda name, **cols: pq.write_table(pa.table(cols), f"{base}/{name}.parquet")
     put("documents", doc_id=pa.array(range(n), pa.int64()), text=pa.array(texts), lang=pa.array(["xx"] * n), source=pa.array([f"s{i % 3}" for i in range(n)]), n_chars=pa.array([None if t is None else len(t) for t in texts], pa.int64()))
     put("labels", doc_id=pa.array(range(n), pa.int64()), quality=pa.array([0 if "###" in (t or "") else 1 for t in texts], pa.int32()), toxic=pa.array([0] * n, pa.int32()))
-    put("benchmark", item_id=pa.array(range(len(items)), pa.int64()), text=pa.array(items))
+    ids = [*range(len(items) - 1), None]
+    items[-1] = " ".join(texts[20].split()[2:40])  # an item without an id hits words and is not listed
+    put("benchmark", item_id=pa.array(ids, pa.int64()), text=pa.array(items))
     put("pages", page_id=pa.array(range(n), pa.int64()), url=pa.array(["u"] * n), html=pa.array([None if t is None else f"<nav>menu</nav><article><p>{t}</p></article><footer>f</footer>" for t in texts]))
     conv = [(i // 3, i % 3, ("user", "assistant", None)[i % 3], t) for i, t in enumerate(texts)]
     put("conversations", **{k: pa.array([c[j] for c in conv], t) for j, (k, t) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))})
-    return str(base), list(enumerate(texts)), list(enumerate(items)), conv
+    return str(base), list(enumerate(texts)), list(zip(ids, items)), conv
 
 
 def result(spark, sf, name):
