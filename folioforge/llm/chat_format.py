@@ -3,7 +3,9 @@
 A conversation is rendered whole, encoded once with offsets, and the turns' spans, sorted, are
 intersected with the tokens' spans by binary search: a token is under the mask if it lies in an
 assistant's text.  The three control strings are tokens of their own, so no token crosses a text's
-ends.  In roles and texts ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, so no control string
+ends.  Ids come from the memoised encoder of :mod:`.memo_bpe`; a byte-level token stands for as many bytes
+as its name has letters, so the running sum of these gives each token's place.  Ids and offsets are those of
+the ``tokenizers`` library with the control strings added (:func:`tokenizer`); other vocabularies go to it.  In roles and texts ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, so no control string
 can arise from them and reading back is exact.
 
 Rows are dealt by conversation and sorted by turn (ties by role, then text), and a conversation is
@@ -17,6 +19,7 @@ empty table gives an empty result, further columns are not read, texts are never
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo_bpe import ALPHABET, shared
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+_CONTROL = re.compile("(" + "|".join(map(re.escape, (START, SEP, END))) + ")")
 _TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(SEP) + r"(.*?)" + re.escape(END), re.S)
 
 
@@ -64,6 +70,35 @@ def tokenizer(path: str):
     return t
 
 
+class Offsets:
+    """Ids and offsets (in code points) of rendered conversations."""
+
+    def __init__(self, vocabulary: str, job: str) -> None:
+        self.library = tokenizer(vocabulary)
+        self.memo = shared(job, vocabulary, 600_000, 4)
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.control = {c: np.array([names[c]], "<u4").tobytes() for c in (START, SEP, END)}
+        self.size = np.zeros(max(names.values()) + 1, np.int64)
+        plain = set(ALPHABET.values())
+        self.plain = self.memo.split is not None and not self.memo.lower
+        added = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        for name, i in names.items():
+            self.size[i] = len(name.encode()) if name in added else len(name)
+            self.plain &= name in added or plain.issuperset(name)
+
+    def __call__(self, formatted: str) -> tuple[np.ndarray, np.ndarray]:
+        if not self.plain:
+            e = self.library.encode(formatted, add_special_tokens=False)
+            return np.array(e.ids, np.int32), np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
+        ids = np.frombuffer(b"".join([self.control.get(x) or self.memo.encode(x) for x in _CONTROL.split(formatted) if x]), "<u4").astype(np.int32)
+        ends = np.cumsum(self.size[ids])
+        if formatted.isascii():
+            return ids, np.stack([ends - self.size[ids], ends], 1).astype(np.int32)
+        data = np.frombuffer(formatted.encode(), np.uint8)
+        point = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte, its code point's number
+        return ids, np.stack([point[ends - self.size[ids]], point[ends - 1] + 1], 1).astype(np.int32)
+
+
 def mask(starts: list[int], ends: list[int], offsets: np.ndarray) -> np.ndarray:
     """Whether each token (start, end) lies in one of the sorted spans."""
     if not len(starts) or not len(offsets):
@@ -88,6 +123,7 @@ _SCHEMA = pa.schema([("key", pa.int64()), ("formatted", pa.string()), ("ids", pa
 
 def format_conversations(rows: DataFrame, vocabulary: str, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant", batch_chars: int = 1 << 20) -> DataFrame:
     """Per conversation: key, formatted, and for each token ids, starts, ends (code points), loss."""
+    job = uuid.uuid4().hex
     src = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{turn}`").alias("turn"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((role, "role"), (text, "text"))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -103,14 +139,13 @@ def format_conversations(rows: DataFrame, vocabulary: str, key: str = "conv_id",
             yield last, turns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
+        offsets_of = Offsets(vocabulary, job)
         cols: list[list] = [[] for _ in _SCHEMA]
         size = 0
         for k, turns in whole(batches):
             formatted, starts, ends = render(turns, learn)
-            e = t.encode(formatted, add_special_tokens=False)
-            offsets = np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
-            for c, v in zip(cols, (k, formatted, np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1], mask(starts, ends, offsets))):
+            ids, offsets = offsets_of(formatted)
+            for c, v in zip(cols, (k, formatted, ids, offsets[:, 0], offsets[:, 1], mask(starts, ends, offsets))):
                 c.append(v)
             size += len(formatted)
             if size >= batch_chars:

@@ -31,7 +31,7 @@ _OUTSIDE = re.compile("[^\\t\\n\\r" + re.escape("".join(_LATIN)) + "]")
 
 #: A byte -> its character in the byte-level alphabet: printable Latin-1 stands for itself, the others follow at U+0100.
 _SELF = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-_ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
 #: Longer pre-tokens are not kept, so a memo's size is bounded.
@@ -47,9 +47,9 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            letters = piece.replace(" ", _ALPHABET[32])
+            letters = piece.replace(" ", ALPHABET[32])
         else:
-            letters = piece.encode().decode("latin-1").translate(_ALPHABET)
+            letters = piece.encode().decode("latin-1").translate(ALPHABET)
         ids = [t.id for t in self.tokenize(letters)]
         out = struct.pack(f"<{len(ids)}{self.kind}", *ids)
         if len(piece) <= LONGEST:

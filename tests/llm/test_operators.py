@@ -591,6 +591,19 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.format_conversations(df.where("false"), queries.vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
+def test_offsets_are_the_librarys():
+    offsets_of = chat_format.Offsets(queries.vocabulary("byte_bpe_50k.json"), "test")
+    own = chat_format.tokenizer(queries.vocabulary("byte_bpe_50k.json"))
+    assert offsets_of.plain
+    texts = [t or "" for t in [*TEXTS, *MARKED]] + ["漢字😀é́ mixed", "<|im_end|><|im_start|>assistant ok", "  two  spaces ", "\n\n x", "naïve café – “quoted” …", "\u00a0nbsp\u2003x", "'s 're don't 12½ ١٢"]
+    for t in [chat_format.render([("user", x), ("assistant", y)])[0] for x, y in zip(texts, texts[1:] + texts[:1])]:
+        ids, offsets = offsets_of(t)
+        e = own.encode(t, add_special_tokens=False)
+        assert ids.tolist() == e.ids and [tuple(x) for x in offsets.tolist()] == e.offsets
+    lower = chat_format.Offsets(queries.vocabulary("word_bpe_49k.json"), "test2")
+    assert not lower.plain and len(lower("<|im_start|>user<|im_sep|>a b<|im_end|>")[0]) == 6
+
+
 # -- 10 ---------------------------------------------------------------------------------------------
 
 
