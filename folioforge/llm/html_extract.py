@@ -3,9 +3,10 @@
 The page becomes a tree (void elements, raw text elements and implied end tags as browsers treat
 them, unclosed elements end with their parent).  Elements that are never article text go: menus,
 page headers and footers, asides, forms, scripts, notices, adverts, reader comments.  Paragraphs
-pass points for their length and commas to their ancestors, less with distance; an ancestor's score
-is discounted by its link density.  The best container is kept, widened to the outermost article (or
-else the main element) around it, and of its siblings those that score or read like article text.
+pass points for their length and commas to their ancestors, half as many with each level; the element's
+name (an article 25, a main element 10, ...) and class count too, and the sum is discounted by link
+density.  The best container is kept, widened while the one around it keeps half of the score
+(:func:`widened`), and of its siblings those that score or read like article text.
 
 Captions are blocks; formulas (without their annotations, which are not shown) and the fallback text of
 media elements are text like any other.  Drawings (svg) are not text.
@@ -15,7 +16,7 @@ Text is decoded, white space inside a block is one space, blocks are joined by o
 Defined cases: null or empty html gives an empty text; a page cut anywhere ends there; a page
 without any paragraph that scores gives its article, main or body element's blocks; repeated rows
 are extracted each on its own; an empty table gives an empty result; further columns are not read;
-pages of any length are read whole.
+pages of any length and depth are read whole, in time that grows with their length.  Ids are long integers.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
+_RAW_NAMES = "script style textarea title noscript iframe xmp noembed noframes template svg".split()
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
+_RAW = frozenset(_RAW_NAMES)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in _RAW_NAMES}
 _GONE = frozenset("nav aside form button select dialog menu annotation annotation-xml head".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -51,7 +54,7 @@ _IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-_SCOPE = frozenset("body html table td th button".split())
+_SCOPE = frozenset("body table td th button".split())
 
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs byline combx comment comments commentlist cookie cookies consent disqus disclaimer footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommend recommended related replies respond rss share sharing shoutbox sidebar skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toolbar widget".split()
@@ -62,16 +65,17 @@ _NOT_GOOD = _NOT_ARTICLE | frozenset("cookie footer menu nav share sidebar".spli
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_START = {"article": 10, "main": 10, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "table": -3}
+_START = {"article": 25, "main": 10, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "table": -3}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas", "_names")
+    __slots__ = ("tag", "attrs", "kids", "up", "score", "size", "linked", "commas", "holds", "_names")
 
     def __init__(self, tag: str, attrs: str, up: Node | None) -> None:
         self.tag, self.attrs, self.up = tag, attrs, up
         self.kids: list = []
         self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
+        self.holds = False
         self._names = None
 
     def attributes(self) -> dict[str, str]:
@@ -85,63 +89,84 @@ class Node:
         return self._names
 
 
+class _Open:
+    """The open elements, outermost first, and for each name the depths at which it is open; so a tag that ends one is
+    settled without a walk to the root."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def deepest(self, tags) -> int:
+        """The depth of the innermost open element with one of these names, -1 without one."""
+        return max((d[-1] for t in tags if (d := self.at.get(t))), default=-1)
+
+    def cut(self, depth: int) -> None:
+        """Ends all elements from this depth on, but never the root."""
+        depth = max(depth, 1)
+        while len(self.stack) > depth:
+            self.at[self.stack.pop().tag].pop()
+
+
 def parse(html: str) -> Node:
     root = Node("html", "", None)
-    here, at = root, 0
+    open_, at = _Open(root), 0
     for m in _TOKEN.finditer(html):
         if m.start() < at:
             continue
         if m.start() > at:
-            here.kids.append(unescape(html[at : m.start()]))
+            open_.stack[-1].kids.append(unescape(html[at : m.start()]))
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         name, attrs = name.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            x = here
-            while x is not None and x.tag != name and not (name not in ("body", "html") and x.tag in ("table", "td", "th") and name not in _BLOCK):
-                x = x.up
-            if x is not None and x.tag == name and x.up is not None:
-                here = x.up
+            depth = open_.deepest((name,))
+            # an inline element's end does not reach out of a table's cell
+            if depth > 0 and (name in _BLOCK or name in ("table", "td", "th") or depth > open_.deepest(("table", "td", "th"))):
+                open_.cut(depth)
             continue
         if name in _RAW:
             if not attrs.endswith("/") or name != "svg":
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                end = _RAW_END[name].search(html, at)
                 at = end.end() if end else len(html)
             continue
-        if name in ("html", "body") and (name == "html" or any(x.tag == "body" for x in _chain(here))):
+        if name == "html" or name == "body" and open_.at.get("body"):
             continue
-        if name in _ENDS_P:
-            here = _close(here, {"p"}, _SCOPE)
+        if name in _ENDS_P and (p := open_.at.get("p")) and p[-1] > open_.deepest(_SCOPE):
+            open_.cut(p[-1])
         if name in _IMPLIED:
             ends, until = _IMPLIED[name]
-            while (up := _close(here, ends, until)) is not here:
-                here = up
-        node = Node(name, attrs, here)
-        here.kids.append(node)
+            out = open_.deepest(until)
+            while (depth := open_.deepest(ends)) > out:
+                open_.cut(depth)
+        node = Node(name, attrs, open_.stack[-1])
+        node.up.kids.append(node)
         if name not in _VOID and not (attrs.endswith("/") and name not in _BLOCK and name != "a"):
-            here = node
+            open_.push(node)
     if at < len(html):
-        here.kids.append(unescape(html[at:]))
+        open_.stack[-1].kids.append(unescape(html[at:]))
     return root
 
 
+def _elements(root: Node) -> list[Node]:
+    """All elements, parents before their children."""
+    order = [root]
+    for x in order:  # grows
+        order += [k for k in x.kids if not isinstance(k, str)]
+    return order
+
+
 def _chain(x: Node | None) -> Iterator[Node]:
     while x is not None:
         yield x
         x = x.up
 
 
-def _close(here: Node, ends: set[str], until) -> Node:
-    for x in _chain(here):
-        if x.tag in ends:
-            return x.up or here
-        if x.tag in until:
-            break
-    return here
-
-
 def _unwanted(x: Node, inside: bool) -> bool:
     """Whether an element is never article text; inside: within an article or main element."""
     if x.tag in _GONE or (x.tag in ("header", "footer") and not (inside and x.tag == "header")):
@@ -162,11 +187,13 @@ def _unwanted(x: Node, inside: bool) -> bool:
         return bool(bad & _NOT_ARTICLE)
     if x.names() & _GOOD and not bad & _NOT_GOOD:
         return False
-    # a page's layout may be named after its sidebar: what holds the article itself stays
-    return not any(k.tag == "main" or k.tag == "article" and not k.names() & _NOT_ARTICLE for k in _find(x, ("main", "article")))
+    return not x.holds  # a page's layout may be named after its sidebar: what holds the article itself stays
 
 
 def prune(root: Node) -> None:
+    for x in reversed(_elements(root)):
+        if x.up is not None and (x.holds or x.tag == "main" or x.tag == "article" and not x.names() & _NOT_ARTICLE):
+            x.up.holds = True
     todo = [(root, False)]
     while todo:
         x, inside = todo.pop()
@@ -201,30 +228,53 @@ def _own_text(x: Node) -> bool:
     return any(isinstance(k, str) and k.strip() or not isinstance(k, str) and k.tag not in _BLOCK and k.size for k in x.kids)
 
 
+_SCORED = frozenset("p pre blockquote td h2 h3 div section article main li".split())
+_OWN = frozenset("div section article main".split())
+
+
+def points(x: Node) -> float:
+    """What an element with text of its own is worth: for its length and its commas."""
+    if x.size < 1 or x.up is None or x.tag not in _SCORED or not _own_text(x):
+        return 0.0
+    return 1 + x.commas + min(x.size // 100, 3) if x.size >= 25 else 0.5
+
+
 def _score(root: Node) -> Node | None:
-    seen: dict[int, Node] = {}
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        todo += [k for k in reversed(x.kids) if not isinstance(k, str)]
-        if x.size < 1 or x.up is None or x.tag not in ("p", "pre", "blockquote", "td", "h2", "h3", "div", "section", "article", "main", "li") or not _own_text(x):
-            continue
-        points = 1 + x.commas + min(x.size // 100, 3) if x.size >= 25 else 0.5
-        for level, a in enumerate(_chain(x if x.tag in ("div", "section", "article", "main") else x.up)):
-            if a.up is None and a.tag == "html" and level > 6:
-                break
-            if id(a) not in seen:
-                seen[id(a)] = a
-                a.score = _START.get(a.tag, 0) + (25 if a.names() & _GOOD and a.tag not in ("body", "html") else 0)
-            a.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
+    """Sets the scores of all elements that points reach; the best one, the first of equals.
+
+    An element's points go to itself if it is a container, else to its parent, and from there on to each ancestor half
+    of what its child got, so one pass from the leaves up does it however deep the tree."""
+    order = _elements(root)
+    for x in reversed(order):
+        if own := points(x):
+            (x if x.tag in _OWN else x.up).score += own
+        if x.up is not None:
+            x.up.score += x.score / 2
     best = None
-    for a in seen.values():
-        a.score *= 1 - _density(a)
-        if best is None or a.score > best.score:
-            best = a
+    for x in order:
+        if x.score > 0:
+            x.score = (x.score + _START.get(x.tag, 0) + (25 if x.names() & _GOOD and x.tag not in ("body", "html") else 0)) * (1 - _density(x))
+            if best is None or x.score > best.score:
+                best = x
     return best
 
 
+def _like_text(s: Node) -> bool:
+    return not s.size or _density(s) < 0.25
+
+
+def widened(best: Node) -> Node:
+    """The best container, or the outermost one around it that step by step keeps half of the score: a part of an article
+    gives way to the article, as an article or a part's name counts too and links count against.  What is neither an
+    article nor a main element nor named like one must hold nothing but text beside."""
+    x = best
+    while x.up is not None and x.up.tag not in ("body", "html") and x.up.score >= 0.5 * x.score:
+        if x.up.tag not in ("article", "main") and not x.up.names() & _GOOD and not all(isinstance(k, str) or k is x or _like_text(k) for k in x.up.kids):
+            break
+        x = x.up
+    return x
+
+
 def _find(root: Node, tags: tuple[str, ...]) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -275,13 +325,12 @@ def main_text(html: str) -> str:
     if best is None or best.score <= 0:
         best = next(iter(sorted(_find(root, ("article", "main")), key=lambda x: -x.size)), None) or next(iter(_find(root, ("body",))), root)
         return "\n".join(blocks([best]))
-    # the author's own container, which also holds what its best part left out; teasers and comments are pruned
-    best = next(iter([a for a in _chain(best) if a.tag == "article"][::-1]), None) or next((a for a in _chain(best) if a.tag == "main"), best)
+    best = widened(best)
     kept, least = [], max(10.0, 0.2 * best.score)
     for s in best.up.kids if best.up is not None else [best]:
         if isinstance(s, str):
             continue
-        if s is best or s.score >= least or s.tag == "p" and s.size > 80 and _density(s) < 0.25 or s.tag in ("h1", "h2"):
+        if s is best or s.score >= least and _like_text(s) or s.tag == "p" and s.size > 80 and _like_text(s) or s.tag in ("h1", "h2"):
             kept.append(s)
     return "\n".join(blocks(kept))
 
