@@ -17,13 +17,13 @@ def _sum(df: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``edges`` (u, v) to (node, root): root is the least node of node's component, for each node of an edge."""
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) to (node, root): root is the least node of node's component, for each node of an edge.
+
+    Rounds go on until one changes nothing; their number grows with the logarithm of a component's size."""
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _sum(edges)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # minima are staged so that the joins are between plain shuffles: a node with very many neighbours is then split
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")

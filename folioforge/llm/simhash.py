@@ -8,7 +8,9 @@ verified by counting differing bits, and a task passes on no more than a spannin
 verified.  The links' connected components are the groups.
 
 A key shared by over ``GROUP`` fingerprints is not compared in one task: its fingerprints are dealt
-into blocks, and each pair of blocks is a task of its own, so the result stays whole.
+into blocks, and each pair of blocks is a task of its own, so the result stays whole.  Such keys are foreseen
+from the keys of one fingerprint in ``SAMPLE`` and dealt before the shuffle; one that the sample missed is
+found as it streams by, and dealt then.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle are one shingle; repeated rows link; a null id is kept, and a component's id is its
@@ -33,6 +35,10 @@ MOST = 4
 SHINGLE = 4
 SEED = 42
 GROUP = 4096
+#: One fingerprint in so many, chosen by hash, tells which keys are hot.  It decides on the route only, not on the result.
+SAMPLE = 64
+#: The most foreseen keys that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 1 << 18
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -165,20 +171,32 @@ def _linker(most: int, group: int | None):
 LINKED = "u bigint, v bigint, key bigint"
 
 
-def links(nodes: DataFrame, most: int = MOST, group: int = GROUP) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(key, fp, blocks) to (key, fp): each block of a key's fingerprints meets each other block, and itself, under a key
+    of their own; rows without ``blocks`` stay under their key."""
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.expr("sequence(0, blocks - 1)"))
+    met = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), "fp")
+
+
+def links(nodes: DataFrame, most: int = MOST, group: int = GROUP, sample: int = SAMPLE) -> DataFrame:
     """(u, v) over distinct fingerprints (column fp): a forest with the components of all links."""
-    keyed = nodes.select("fp").mapInArrow(_keyed, "key bigint, fp bigint")
-    met = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(most, group), LINKED), "links")
+    keyed = lambda some: some.select("fp").mapInArrow(_keyed, "key bigint, fp bigint")
+    few = keyed(nodes.where(F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.lit(sample)) == 0))
+    hot = few.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * sample > group)
+    hot = stage(hot.select("key", F.ceil(F.col("n") * sample / group).cast("int").alias("blocks")), "hot-keys")
+    n, rows = hot.count(), keyed(nodes)
+    if n:
+        rows = _dealt(rows.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, "key", "left"))
+    met = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(most, 2 * group), LINKED), "links")
     edges = met.where("key is null").select("u", "v")
-    hot = met.where("key is not null").select("key", F.col("u").alias("fp"))
-    if hot.isEmpty():
+    missed = met.where("key is not null").select("key", F.col("u").alias("fp"))
+    if missed.isEmpty():
         return edges
-    size = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    met2 = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = hot.join(size, "key").withColumn("block", block).withColumn("other", met2)
-    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    again = dealt.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    size = missed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("blocks"))
+    again = _dealt(missed.join(size, "key")).repartition("key").sortWithinPartitions("key")
     return edges.unionByName(again.mapInArrow(_linker(most, None), LINKED).select("u", "v"))
 
 
