@@ -113,34 +113,48 @@ def words(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
+def _stretches(found: DataFrame) -> DataFrame:
+    """row, key, cut: the spans of each row of :func:`spans` united to disjoint stretches (start, stop), in order."""
+    flat = found.select("row", "key", F.explode("spans").alias("s")).select("row", "key", "s.start", "s.stop")
+    order = Window.partitionBy("row").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flat = flat.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    flat = flat.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = flat.groupBy("row", "island").agg(F.first("key").alias("key"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return one.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
+
+
+#: Texts are masked in chunks of so many code points, so that a text with many stretches is not searched from its start for each.
+CHUNK = 4096
+
+
+def _masked(chunk: Column, base: Column, cut: Column, mask: str) -> Column:
+    """A chunk that begins at ``base`` without what the stretches cover; a mask stands where a stretch begins."""
+    inside = F.filter(cut, lambda x: (x["start"] < base + CHUNK) & (x["stop"] > base))
+
+    def part(i: Column) -> Column:
+        here, before = F.get(inside, i), F.get(inside, i - 1)
+        a = F.when(i == 0, F.lit(0)).otherwise(before["stop"] - base)
+        b = F.when(i == F.size(inside), F.lit(CHUNK)).otherwise(F.greatest(here["start"] - base, F.lit(0)))
+        kept = F.substring(chunk, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        return F.concat(kept, F.when(here["start"] >= base, F.lit(mask)).otherwise(""))
+
+    return F.when(F.size(inside) == 0, chunk).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size(inside)), part), ""))
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE, mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with each stretch that spans cover replaced by ``mask``; n_chars, if there is one, follows the text.
 
     Spans meet their text by (key, hash of the text): rows equal in both have equal spans."""
     hashed = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"), F.col(f"`{text}`").alias("text"))
     found = spans(hashed.select(F.struct("key", "hash").alias("id"), "text"), "id", "text", scope).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("key.key").alias("_key"), F.col("key.hash").alias("_hash")).agg(F.first("spans").alias("_spans"))
+    found = _stretches(found).groupBy(F.col("key.key").alias("_key"), F.col("key.hash").alias("_hash")).agg(F.first("cut").alias("_cut"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at, k = docs.columns.index(text), docs.columns.index(key)
     wide = docs.toDF(*names)
     joined = wide.join(found, F.col(names[k]).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(names[at]).cast("string")) == F.col("_hash")), "left")
-    empty = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    merged = F.aggregate(
-        F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))), empty,
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.element_at(a, F.greatest(F.size(a), F.lit(1)))["stop"] >= x["start"]),
-            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, F.greatest(F.size(a), F.lit(1)))["start"].alias("start"), F.greatest(F.element_at(a, F.greatest(F.size(a), F.lit(1)))["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(a, F.array(x))),
-    )
-    joined = joined.withColumn("_cut", F.when(F.col("_spans").isNotNull(), merged))
     body = F.col(names[at])
-    between = F.transform(
-        F.sequence(F.lit(0), F.size("_cut")),
-        lambda i: F.when(i == F.size("_cut"), F.expr(f"substring({names[at]}, cast(_cut[size(_cut) - 1].stop as int) + 1)")).otherwise(
-            F.substring(body, (F.when(i == 0, F.lit(0)).otherwise(F.get("_cut", i - 1)["stop"]) + 1).cast("int"), (F.get("_cut", i)["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("_cut", i - 1)["stop"])).cast("int"))
-        ),
-    )
-    clean = F.when(F.col("_cut").isNotNull(), F.array_join(between, mask)).otherwise(body)
+    clean = F.when(F.col("_cut").isNotNull(), F.array_join(F.transform(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda c, i: _masked(c, i * CHUNK, F.col("_cut"), mask)), "")).otherwise(body)
     out = [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
     out[at] = clean.alias(text)
     if "n_chars" in docs.columns:
