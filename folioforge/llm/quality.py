@@ -5,12 +5,15 @@ learner grows a conjunction of thresholds on ratios of them that covers low qual
 gain), prunes its tail on documents held out, keeps it if it is precise there, removes what it covers
 and goes on; the list is emitted as an ordered Spark conditional expression over the statistics.
 
-Learning takes at most ``MOST_LABELLED`` labelled documents (those of the lowest hashed ids); the
-statistics and the verdict cover every document.
+Learning takes at most ``MOST_LABELLED`` labelled documents (those of the lowest hashed ids, one row of each
+id); the statistics and the verdict cover every document.  The learner's size is bounded by ``CUTS``
+thresholds tried for a ratio, ``LONGEST`` conditions of a rule and ``MOST_RULES`` rules: a list that a reader
+can check.  It mostly ends earlier, at the first rule that is not precise.
 
 Defined cases: a null or wordless text has zero statistics and fails the base rule; without labels,
 or with labels of one kind, the list is empty and the base rule alone decides; several labels of one
-id count as low if one of them is; null labels are not used; an empty table gives an empty result;
+id count as low if one of them is; of several documents with a labelled id the one with the least ratios (in
+the order of RATIOS) is learned from; null labels are not used; an empty table gives an empty result;
 further columns are not read by :func:`statistics` and kept by :func:`filter_quality`.
 """
 
@@ -28,6 +31,7 @@ from .common import INK, no_null, odd, mix, pieces, utf8, word_hashes, word_span
 
 REPEAT_WINDOW = 8
 MOST_LABELLED = 20_000
+CUTS, LONGEST, MOST_RULES = 64, 4, 16
 SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct"]
 
@@ -140,7 +144,7 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, low: np.ndarray, cuts: int = 64, longest: int = 4) -> Rule:
+def _grow(x: np.ndarray, low: np.ndarray, cuts: int = CUTS, longest: int = LONGEST) -> Rule:
     rule: tuple[Condition, ...] = ()
     inside = np.ones(len(x), bool)
     while len(rule) < longest:
@@ -187,7 +191,7 @@ def _tighten(rule: Rule, x: np.ndarray, low: np.ndarray, share: float = 0.02) ->
     return tuple(dict.fromkeys(out))
 
 
-def learn(x: np.ndarray, low: np.ndarray, precision: float = 0.95, least: int = 3, most_rules: int = 16) -> list[Rule]:
+def learn(x: np.ndarray, low: np.ndarray, precision: float = 0.95, least: int = 3, most_rules: int = MOST_RULES) -> list[Rule]:
     """An ordered list of rules for low quality; x has the ratios in columns."""
     rules: list[Rule] = []
     fold = np.arange(len(x)) % 3 == 2  # a third prunes and judges what the others grow
@@ -226,7 +230,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(given.count(), 1)))
     sample = given.where(share).orderBy(F.xxhash64("key"), "key").limit(most)
     rows = no_null(docs, key, text).join(F.broadcast(sample), "key")
-    got = _with_stats(rows).select("key", "y", *[ratio(r).alias(r) for r in RATIOS]).toPandas().sort_values(["key", *RATIOS]).to_numpy(float)
+    one = _with_stats(rows).groupBy("key", "y").agg(F.min(F.struct(*[ratio(r).alias(r) for r in RATIOS])).alias("r"))  # at most ``most`` rows
+    got = one.select("key", "y", "r.*").toPandas().sort_values("key").to_numpy(float)
     if not len(got):
         return []
     got = got[np.random.default_rng(0).permutation(len(got))]
