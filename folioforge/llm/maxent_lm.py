@@ -8,14 +8,14 @@ its hash.  The model is
 All class and leaf factors are softmaxes over hashed features of the context (the word before, the two
 classes before, and two skips: the word two before and the class three before) added to the corpus' own
 log frequencies, so that a model without weights is the unigram model.  Each factor has a table of weights
-of its own, whose rows grow with the square root of the counted tokens (:func:`table_rows`); a row is a
-full mix of a feature and the factors before.  What is left to the corpus' counts alone is the word in its
+of its own, whose rows grow with the square root of the counted tokens (:func:`table_rows`), up to what a task can
+hold; a row is a full mix of a feature and the factors before.  What is left to the corpus' counts alone is the word in its
 leaf, one of 65,536, with half a count for every word and for all unseen words of a leaf.
 
 Training is one pass over all training text in ``ROUNDS`` rounds.  In a round each task takes about
-``TASK_TOKENS`` tokens (128 for each row of a table, if that is more) or more and makes adaptive gradient steps on them from the current weights; the
-tasks' changes are summed by blocks of weights, and the sums alone (as large as the weights) reach the
-driver.
+``TASK_TOKENS`` tokens (128 for each row of a table, if that is more) or more and makes adaptive gradient
+steps on them from the current weights; the tasks' changes are summed by blocks of weights, in a tree where
+there are many, and the sums alone (as large as the weights) reach the driver.
 
 Counts cover all training text and are kept as a table.  Words among the ``HEAD`` most frequent are
 looked up in a broadcast array of that bound; the others are joined by word.  A word is represented
@@ -41,20 +41,27 @@ from .common import INK, LOWER, mix, no_null, pieces, stage, utf8, word_hashes,
 C = 16
 DEPTH = 4
 LEAVES = C**DEPTH
-#: The least rows of a table.
+#: The least and the most rows of a table; the most is what a task can hold (four tables and their state, 128 MB).
 ROWS = 1 << 14
+MOST_ROWS = 1 << 18
 HEAD = 1 << 18
 ROUNDS = 2
 RATE = 0.1
 STEP = 1 << 14
 END = np.uint64(0x9E3779B97F4A7C15)
-BLOCKS = 16
+#: Weights in a message.
+BLOCK = 1 << 16
+#: From so many messages a block on, they are merged in a tree.
+FAN = 16
 TASK_TOKENS = 4_000_000
+#: What squared gradients sum up to, on average, when a later round begins.
+BEGUN = 16.0
 
 
 def table_rows(total: int) -> int:
-    """Rows of each factor's table for so many counted tokens: a power of two, at least twice their square root."""
-    return max(ROWS, 1 << int(np.ceil(np.log2(2 * np.sqrt(max(total, 1))))))
+    """Rows of each factor's table for so many counted tokens: a power of two, at least twice their square root, up to
+    ``MOST_ROWS`` (from 16 G tokens on)."""
+    return min(max(ROWS, 1 << int(np.ceil(np.log2(2 * np.sqrt(max(total, 1)))))), MOST_ROWS)
 
 
 def held_out(key: str = "key") -> Column:
@@ -101,6 +108,8 @@ def features(h: np.ndarray, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([mix(k) for k in kinds])
 
 
+#: The features of words, which alone the leaf's factors have; the classes before tell little there.
+WORDS = [0, 2]
 _ONES = np.ones(C, np.float32)
 
 
@@ -121,14 +130,6 @@ def factor_rows(f: np.ndarray, before: np.ndarray, level: int, rows: int) -> np.
     return (f & u(rows - 1)).astype(np.int64)
 
 
-def _order(r: np.ndarray, rows: int) -> np.ndarray:
-    """A stable order of row numbers, by 16 bits at a time (numpy sorts these by radix)."""
-    order = np.argsort((r & 0xFFFF).astype(np.uint16), kind="stable")
-    for shift in range(16, (rows - 1).bit_length(), 16):
-        order = order[np.argsort((r >> shift & 0xFFFF).astype(np.uint16)[order], kind="stable")]
-    return order
-
-
 class Model:
     """Log frequencies of each factor's outcomes (a row of C for each outcome of the factors before) and its weights."""
 
@@ -144,7 +145,7 @@ class Model:
         f = f.astype(np.uint64, copy=False)
         for level, (w, prior) in enumerate(zip(self.w, self.priors)):
             before, c = np.divmod(cls // C ** (len(self.w) - 1 - level), C)
-            yield level, factor_rows(f, before, level, len(w)), prior.take(before, 0) if level else prior[0], c
+            yield level, factor_rows(f if level < 2 else f[WORDS], before, level, len(w)), prior.take(before, 0) if level else prior[0], c
 
     def score(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Natural log of the factors' product for each token."""
@@ -157,22 +158,25 @@ class Model:
                 out[at : at + STEP] += x[i, c] - np.log(np.exp(x) @ _ONES)
         return out
 
-    def train(self, f: np.ndarray, cls: np.ndarray, state: list[np.ndarray]) -> None:
+    def train(self, f: np.ndarray, cls: np.ndarray, state: list[np.ndarray], step: int = STEP) -> None:
         """Adaptive gradient steps on batches of tokens; state: the sums of squared gradients."""
-        for at in range(0, f.shape[1], STEP):
-            for level, g, prior, c in self.factors(f[:, at : at + STEP], cls[at : at + STEP]):
+        for at in range(0, f.shape[1], step):
+            for level, g, prior, c in self.factors(f[:, at : at + step], cls[at : at + step]):
                 w, s = self.w[level], state[level]
                 p = _logits(w, g, prior)
                 np.exp(p, out=p)
                 p /= (p @ _ONES)[:, None]
                 p[np.arange(len(c)), c] -= 1
-                for r in g:
-                    order = _order(r, len(w))
-                    sorted_ = r[order]
-                    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                    grad, where = np.add.reduceat(p.take(order, 0), first), sorted_[first]
-                    s[where] += grad * grad
-                    w[where] -= RATE * grad / np.sqrt(s[where] + 1.0)
+                # a row's gradient is the sum over all features of the batch that share it, one outcome at a time
+                rows, columns = np.concatenate(g), p.T.astype(float)
+                sums = np.empty((C, len(w)), np.float32)
+                for k in range(C):
+                    sums[k] = np.bincount(rows, np.tile(columns[k], len(g)), len(w))
+                grad = np.ascontiguousarray(sums.T)
+                s += grad * grad
+                grad *= RATE
+                grad /= np.sqrt(s + 1.0)
+                w -= grad
 
 
 COUNTS = "h bigint, cls int, c bigint"
@@ -240,49 +244,56 @@ class Corpus:
         return counts if self.head_rows is None else counts.where(~self.head_rows)
 
 
+MESSAGE = "block int, part bigint, seen bigint, sums binary"
+
+
+def _merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of changes, and of the tokens behind them, by block."""
+    sums: dict[int, list] = {}
+    for batch in rows:
+        for b, n, x in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "sums"))):
+            s = sums.setdefault(b, [0, 0.0])
+            s[0] += n
+            s[1] = s[1] + np.frombuffer(x, "<f4").astype(float)
+    for b, (n, x) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([-1], pa.int64()), pa.array([n], pa.int64()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["block", "part", "seen", "sums"])
+
+
 def train(src: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
     """``src``: key and text of training documents, each in one of the rounds."""
-    names = ["block", "seen", "sums"]
-    schema = "block int, seen bigint, sums binary"
     model = Model(*corpus.priors, rows=corpus.rows)
-    squares = [np.zeros((corpus.rows, C), np.float32) for _ in model.w]
+    blocks = DEPTH * corpus.rows * C // BLOCK
+    tasks = 1 + corpus.total // rounds // max(TASK_TOKENS, 128 * corpus.rows)
     for k in range(rounds):
         priors, start = model.priors, model.w
-        held = [x / 2 for x in squares]
+        begun = np.float32(BEGUN * k)
+
+        def steps(batches: Iterator[pa.RecordBatch], priors=priors, start=start, begun=begun) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-        def steps(batches: Iterator[pa.RecordBatch], priors=priors, start=start, held=held) -> Iterator[pa.RecordBatch]:
             m = Model(*priors, w=[x.copy() for x in start])
-            state, seen = [x.copy() for x in held], 0
+            state, seen = [np.full(x.shape, begun, np.float32) for x in start], 0
             for part in pieces(batches, most=1 << 20):
                 h, cls, off = tokens(part.column("text"))
-                m.train(features(h, cls, off), cls, state)
+                m.train(features(h, cls, off), cls, state, max(STEP, len(start[0])))
                 seen += len(h)
-            if seen:
-                # weights weighted by tokens, as they are averaged; squares as they are, as they are summed
-                change = np.concatenate([(a - b) * np.float32(seen) for a, b in zip(m.w, start)] + [a - b for a, b in zip(state, held)]).astype("<f4", copy=False).reshape(BLOCKS, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in change], pa.binary())], names)
-
-        def total(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
-            for batch in rows:
-                for b, n, x in zip(*(c.to_pylist() for c in batch.columns)):
-                    s = sums.setdefault(b, [0, 0.0])
-                    s[0] += n
-                    s[1] = s[1] + np.frombuffer(x, "<f4").astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].astype("<f4").tobytes() for s in sums.values()], pa.binary())], names)
+            if seen:  # changes weighted by tokens, as they are averaged
+                change = np.concatenate([(a - b) * np.float32(seen) for a, b in zip(m.w, start)]).astype("<f4", copy=False).reshape(blocks, -1)
+                part = TaskContext.get().partitionId()
+                for b in range(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([change[b].tobytes()], pa.binary())], ["block", "part", "seen", "sums"])
 
         part = src.where(F.pmod(F.xxhash64("key", F.length("text")), F.lit(rounds)) == k).select("text")
-        part = part.coalesce(1 + corpus.total // rounds // max(TASK_TOKENS, 128 * corpus.rows))
-        got = part.mapInArrow(steps, schema).repartition(F.col("block")).mapInArrow(total, schema).collect()  # BLOCKS rows
+        got = part.coalesce(tasks).mapInArrow(steps, MESSAGE)
+        if tasks > FAN:  # in a tree: about the square root of the messages of a block meet in one task, then these
+            got = got.repartition("block", F.pmod("part", F.lit(int(np.ceil(np.sqrt(tasks)))))).mapInArrow(_merged, MESSAGE)
+        got = got.repartition("block").mapInArrow(_merged, MESSAGE).collect()  # as large as the weights
         if not got:
             continue
-        new = np.zeros((BLOCKS, 2 * DEPTH * corpus.rows * C // BLOCKS), np.float32)
+        new = np.zeros((blocks, BLOCK), np.float32)
         for r in got:
-            squared = r["block"] >= BLOCKS // 2
-            new[r["block"]] = np.frombuffer(r["sums"], "<f4").astype(float) / (1 if squared else r["seen"])
-        w = new.reshape(2 * DEPTH, corpus.rows, C)
-        model.w = [a + b for a, b in zip(model.w, w[:DEPTH])]
-        squares = [a + b for a, b in zip(squares, w[DEPTH:])]
+            new[r["block"]] = np.frombuffer(r["sums"], "<f4").astype(float) / r["seen"]
+        model.w = [a + b for a, b in zip(model.w, new.reshape(DEPTH, corpus.rows, C))]
     return model
 
 
