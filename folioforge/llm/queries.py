@@ -89,6 +89,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The columns that the contracts fix beside the methods' own, so that SQL can check them.
+
+
+def base_of_op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets(spark, sf_dir).drop("spans")
+
+
+def base_of_op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_of_op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six decimals: sums of logarithms differ in their last bits with the order of addition."""
+    return op8_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+def base_of_op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -100,6 +120,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
+    "base_of_op6_secrets": base_of_op6_secrets,
+    "base_of_op7_quality_rules": base_of_op7_quality_rules,
+    "base_of_op8_lm_scoring": base_of_op8_lm_scoring,
+    "base_of_op10_license_scan": base_of_op10_license_scan,
 }
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,8 +131,51 @@ _WORDS = f"regexp_extract_all({_LOW.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\
 _ESCAPED = "replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 _SAID = "<|im_end|><|im_start|>assistant ok"
 
+_TEXT = "coalesce(text, '')"
+_INK = f"regexp_extract_all({{}}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _matches(kind: str, regex: str, group: int, least: int) -> str:
+    """Every match of an expression: doc_id, kind, a, b; a match's place is what stands before it, gaps and matches."""
+    return f"""SELECT doc_id, '{kind}' AS kind, b - length(m) AS a, b FROM (SELECT doc_id, m, p, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (
+SELECT doc_id, unnest(regexp_extract_all(t, '{regex}', 0)) AS m, unnest(regexp_extract_all(t, '{regex}', {group})) AS p, unnest(string_split_regex(t, '{regex}')[:len(regexp_extract_all(t, '{regex}', 0))]) AS g,
+generate_subscripts(regexp_extract_all(t, '{regex}', 0), 1) AS i FROM d)) WHERE length(p) >= {least}"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: crc32 of a number as text, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, c: list_reduce([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8], lambda y, k: xor(y >> 1, 3988292384 * (y & 1)), xor(x, c)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
 #: The others are beyond SQL: tokenizers, learned models, XXH64, tree scoring, automata; the tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "base_of_op6_secrets": f"""
+WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents),
+m AS ({_matches("assign", _ASSIGN, 2, 6)} UNION ALL {_matches("access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_matches("hex", "[0-9a-f]+", 0, 24)}),
+k AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, list_position(['assign', 'access', 'hex'], kind)) AS spans FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "base_of_op7_quality_rules": f"""
+WITH d AS (SELECT doc_id, {_TEXT} AS t, {_INK.format(_TEXT)} AS ws FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+o AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+e AS (SELECT doc_id, i, {" || ' ' || ".join(f"lead(x, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(8))} AS g FROM o),
+w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM e WHERE g IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM w, unnest(generate_series(i, i + 7)) AS t(p) WHERE w.n > 1 GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(ws) AS base_failed FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "base_of_op8_lm_scoring": f"""
+WITH d AS (SELECT doc_id, coalesce({_CRC} % 5 = 1, false) AS held_out, list_append({_INK.format(_LOW.format("text"))}, ' ') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS total, log10(coalesce(sum(c), 0) + 0.5 * (count(*) + 1)) AS norm FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(total) AS BIGINT) AS train_tokens, round(sum(log10(coalesce(c, 0) + 0.5) - norm), 6) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out""",
+    "base_of_op10_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+o AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+e AS (SELECT doc_id, pos, x, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS z FROM o),
+p AS (SELECT doc_id, pos, CASE x WHEN 'general' THEN 'gpl' ELSE x END AS label FROM e WHERE x IN ('mit', 'apache') AND y = 'license' OR x = 'general' AND y = 'public' AND z = 'license'),
+k AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN k USING (doc_id)""",
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),

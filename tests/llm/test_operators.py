@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioforge.llm import chat_format, decontaminate, golay, html_extract, licenses, maxent_lm, memo_bpe, packing, quality, queries, secrets, simhash, token_store
+from folioforge.llm import chat_format, common, decontaminate, golay, html_extract, licenses, maxent_lm, memo_bpe, packing, quality, queries, secrets, simhash, token_store
 from folioforge.llm.components import components
 
 from conftest import rows
@@ -51,6 +51,21 @@ def all_rows(docs):
     return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
 
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(9)
+    w = list({bytes(rng.integers(97, 100, int(n), dtype=np.uint8)) for n in rng.integers(1, 40, 20000)} | {b"a" * n for n in range(1, 700)} | {b"a" * n + b"b" + b"a" * (600 - n) for n in range(0, 600, 7)})
+    for sep in (b"", b" "):
+        data = np.frombuffer(sep.join(w), np.uint8)
+        size = np.array([len(x) for x in w])
+        ends = np.cumsum(size + len(sep)) - len(sep)
+        h = common.word_hashes(data, ends - size, ends)
+        assert len(set(h.tolist())) == len(w)
+        order = rng.permutation(len(w))  # a hash depends on the bytes of the span alone
+        data2 = np.frombuffer(b"#".join(w[i] for i in order), np.uint8)
+        ends2 = np.cumsum(size[order] + 1) - 1
+        assert (common.word_hashes(data2, ends2 - size[order], ends2) == h[order]).all()
+
+
 # -- 1 ----------------------------------------------------------------------------------------------
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First, line\n  here.<br><p>Second&nbsp;one, with <a href=x>a link</a>.</p><ul><li>item</ul></article>"
@@ -96,6 +111,60 @@ def test_deep_pages_are_scored():
     assert "other page" not in got and got.count("Some text") == 15
 
 
+def test_scores_by_brute_force():
+    """Points walk up to every ancestor, halved with each level; with and without articles, links and class names."""
+    rng = np.random.default_rng(8)
+
+    def some(depth):
+        out = ""
+        for _ in range(int(rng.integers(1, 4))):
+            kind = rng.choice(["p", "div", "section", "article", "main", "ul", "blockquote"]) if depth else "p"
+            name = rng.choice(["", " class=content", " class='x y'", " id=main"])
+            said = "some words, and more " * int(rng.integers(0, 12))
+            inner = f"{said}<a href=x>{'link ' * int(rng.integers(0, 9))}</a>" if kind == "p" or rng.random() < 0.3 else ""
+            out += f"<{kind}{name}>{inner}{'' if kind == 'p' else some(depth - 1)}</{kind}>"
+        return out
+
+    scored = 0
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{some(4)}")
+        html_extract.prune(root)
+        html_extract._weigh(root)
+        want = Counter()
+        for x in html_extract._elements(root):
+            share, a = html_extract.points(x), x if x.tag in html_extract._OWN else x.up
+            while a is not None:
+                want[id(a)] += share
+                share, a = share / 2, a.up
+        best = html_extract._score(root)
+        for x in html_extract._elements(root):
+            if want[id(x)]:
+                names = 25 if x.names() & html_extract._GOOD and x.tag not in ("body", "html") else 0
+                assert abs(x.score - (want[id(x)] + html_extract._START.get(x.tag, 0) + names) * (1 - html_extract._density(x))) < 1e-9
+                assert x.score <= best.score + 1e-9
+                scored += 1
+    assert scored > 500
+
+
+def test_the_score_chooses_also_where_there_are_articles():
+    teaser = "<article><a href=x>Read, more, about, it</a><p>Short teaser, of another page.</p></article>"
+    html = f"<body><div>{teaser}{teaser}</div><div id=text><p>{PROSE}</p><p>{PROSE}</p><p>Short.</p></div>"
+    got = html_extract.main_text(html)
+    assert got.count("Some text") == 10 and "teaser" not in got and got.endswith("Short.")
+    links = "<div>" + "<a href=x>Another page of the site</a> " * 30 + "</div>"
+    got = html_extract.main_text(f"<body><article><section><p>{PROSE}</p><p>{PROSE}</p></section><section><p>{PROSE}</p></section><p>End.</p></article>{links}")
+    assert got.count("Some text") == 15 and got.endswith("End.") and "Another page" not in got
+
+
+@pytest.mark.parametrize("html", ["<div>" * 200_000 + "deep", "<p><b>" * 60_000, "<b>x " * 200_000, "<table><tr><td>" * 50_000, "<div class=ad>" * 60_000 + "<article><p>x", "<div><p>Some text, with commas, in it.</p>" * 40_000, "<div></b></p>" * 60_000])
+def test_time_grows_with_length(html):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(html)
+    assert time.process_time() - began < 20
+
+
 def test_captions_formulas_and_fallback_text_are_kept():
     html = f"<article><p>{PROSE}So <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>x=2</annotation></semantics></math> holds.</p><figure><img src=a><figcaption>A caption.</figcaption></figure>"
     html += "".join(f"<p><{m}>Text of {m}.</{m}></p>" for m in ("object", "video", "audio", "canvas")) + "</article>"
@@ -375,19 +444,23 @@ def test_simhash(docs, none):
 
 
 def test_golay_keys_meet_within_four_bits():
-    rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
-    b = a.copy()
-    for _ in range(4):
-        b ^= np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)
-    (k1, r1), (k2, r2) = golay.keys(a), golay.keys(b)
-    met = {*zip(k1.tolist(), r1.tolist())} & {*zip(k2.tolist(), r2.tolist())}
-    assert {r for _, r in met} == set(range(4000))
-
-
-@pytest.mark.parametrize("group", [3, 4096])
-def test_dense_groups_stay_whole(spark, group):
-    """Chains and balls of fingerprints, also where every key is over the bound and is dealt into blocks."""
+    """All 679,120 patterns of one to four errors, on random fingerprints and on the empty one."""
+    from itertools import combinations
+
+    bits = [sum(1 << b for b in at) for n in range(1, 5) for at in combinations(range(64), n)]
+    errors = np.array(bits, np.uint64)
+    assert len(errors) == 679_120
+    for fp in [np.uint64(0), *np.random.default_rng(0).integers(0, 2**64, 2, dtype=np.uint64)]:
+        own = np.unique(golay.keys(np.array([fp]))[0])
+        for at in range(0, len(errors), 50_000):
+            some = errors[at : at + 50_000] ^ fp
+            k, row = golay.keys(some)
+            assert len(np.unique(row[np.isin(k, own)])) == len(some)
+
+
+@pytest.mark.parametrize("group, sample", [(3, 1 << 30), (3, 1), (3, 2), (4096, 64)])
+def test_dense_groups_stay_whole(spark, group, sample):
+    """Chains and balls of fingerprints, also where every key is over the bound and is dealt into blocks, foreseen or not."""
     rng = np.random.default_rng(7)
     fp = [int(x) for x in rng.integers(0, 2**64, 20, dtype=np.uint64)]
     for c in fp[:3]:
@@ -397,7 +470,7 @@ def test_dense_groups_stay_whole(spark, group):
             fp.append(x)
     fp = list(dict.fromkeys(fp))
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fp], "fp long")
-    got = components(simhash.links(nodes, group=group))
+    got = components(simhash.links(nodes, group=group, sample=sample))
     root = {r["node"]: r["root"] for r in got.collect()}
     signed = [int(np.uint64(x).astype(np.int64)) for x in fp]
     want = classes(list(zip(signed, fp)))
@@ -469,6 +542,31 @@ def test_weak_parts_of_any_length(spark):
     assert clean[1] == "[REDACTED] [REDACTED] end" and not any("Ab1" in clean[i] for i in range(4))
 
 
+def test_redaction_by_brute_force(spark):
+    """Many spans, apart, touching and nested, on both sides of the chunks' ends, in texts of several chunks."""
+    rng = np.random.default_rng(13)
+    bits = ["password=abcdef12 ", "token: 'AKIA" + "Z" * 20 + "' ", "0f" * 15, "😀 wörd ", "x" * 50 + " ", "secret=" + "ab1" * 900 + " ", "user_id=robot7 "]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), int(n))) for n in (3, 20, 200, 1500)] + ["k " * 2044 + "password=abcdefgh " + "y" * 9000, "password=abcdef12 " * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["key"]: sorted((a, b) for a, _, b in r["spans"]) for r in secrets.spans(docs).collect()}
+    for r in secrets.redact(docs).collect():
+        t, out, at, mine = texts[r["doc_id"]], "", 0, []
+        for a, b in found[r["doc_id"]]:
+            if mine and a <= mine[-1][1]:
+                mine[-1][1] = max(mine[-1][1], b)
+            else:
+                mine.append([a, b])
+        for a, b in mine:
+            out, at = out + t[at:a] + "[REDACTED]", b
+        assert r["text"] == out + t[at:]
+
+
+def test_a_secret_of_ten_thousand_characters(spark):
+    run = "Ab1" * 3334
+    docs = spark.createDataFrame([(1, f"client_id=robot7 {run}."), (2, "api_key=" + "q" * 10_000), (3, "AKIA" + "9" * 10_000), (4, "0f" * 5000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {1: "[REDACTED] [REDACTED].", 2: "[REDACTED]", 3: "[REDACTED]", 4: "[REDACTED]"}
+
+
 # -- 7 ----------------------------------------------------------------------------------------------
 
 
@@ -504,6 +602,15 @@ def test_rules_are_learned_and_ordered(spark):
     assert quality.filter_quality(docs, labels).columns == docs.columns
 
 
+def test_a_labelled_id_of_very_many_rows_is_one_example(spark):
+    rng = np.random.default_rng(2)
+    good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 60)) + f" {i}") for i in range(60)]
+    docs = spark.createDataFrame(good + [(100 + i, t.replace(" ", "### ")) for i, t in good], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in [*range(60), *range(100, 160)]], "doc_id long, quality int")
+    many = docs.unionByName(spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(good[7][1]).alias("text")))
+    assert quality.learn_rules(many, labels) == quality.learn_rules(docs, labels) != []
+
+
 def test_quality_filter_keeps_columns(docs, none, spark):
     labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
     got = quality.filter_quality(docs, labels)
@@ -567,8 +674,7 @@ def test_tables_grow_and_rows_are_mixed():
     f = maxent_lm.mix(np.arange(20000, dtype=np.uint64))[None, :]
     for level in (1, 2, 3):
         assert len(np.unique(maxent_lm.factor_rows(f, np.zeros(20000, np.int64), level, 1 << 14))) > 10000
-    r = np.random.default_rng(0).integers(0, 1 << 18, 5000)
-    assert (maxent_lm._order(r, 1 << 18) == np.argsort(r, kind="stable")).all()
+    assert maxent_lm.table_rows(10**13) == maxent_lm.MOST_ROWS
 
 
 # -- 9 ----------------------------------------------------------------------------------------------

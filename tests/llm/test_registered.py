@@ -195,3 +195,18 @@ def test_pipeline(spark, sf):
     for r in corpus_pipeline.run(spark, sf[0]).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
     assert {k: b"".join(x for _, x in sorted(v)) for k, v in got.items()} == {k: np.array(expected_ids(t, "byte_bpe_50k.json", 0), "<u4").tobytes() for k, t in masked.items()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf, name):
+    """Null, empty and odd texts in a second engine."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf[0]}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf[0])
+    cols = sorted(df.columns)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    want = con.sql(f"select {', '.join(cols)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == sorted(want, key=key)
