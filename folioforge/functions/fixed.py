@@ -48,6 +48,10 @@ PREAMBLE_STOP = r"中\s*華\s*民\s*國\s*\d{2,3}\s*年|以上正本證明|書
 FOOTER = r"(?:中\s*華\s*民\s*國\s*\d{2,3}\s*年|以上正本證明|如不服本(?:判決|裁定)|本件判決確定)"
 INTRO = r"(?:如下|以下)\s*[：:]?\s*$"
 GROUP_MARK = r"^(?:[上前]\s*(?:[〇一二三四五六七八九十百千萬]+\s*人|列)|共\s*同)"
+AGENT_NAMED = r"(?:代\s*理\s*人|辯護\s*人)\s+(.+)"
+NAME_JOINS, AGENT_JOINS = r"[即及與，,、；;。\s]+", r"[兼及與、，,；;。\s]+"
+BRACKETED, LAWYER, ASSISTANT, NOT_A_NAME = r"[（(][^）)]*[）)]", "律師|辯護", "輔佐", r"[\d\sA-Za-z]"
+FRAGMENT_MOST, NAME_MOST, ALSO, SENTENCE = 8, 20, "即", "上列"
 LAW_APPENDIX = r"(?:附錄(?:本案)?(?:論罪科刑)?法條(?:全文)?|所犯法條)\s*[：:]\s*(?!分敘)"
 LAW_CLAUSE = r"依\s*(.{1,300}?)\s*[,，]\s*(?:判決|裁定)如主文"
 LAW_CITE = r"(?:[^\s，；、（\(]{1,15}(?:法|條例|規則))\s*第\s*[\d百千一二三四五六七八九十]+\s*條[之第\d\s]*"
@@ -97,3 +101,8 @@ EXPORT = [
 ]
 FULL_TEXT = ("full_text", "全文")
 RESULT_LIMIT, MIN_SPLIT_DAYS = 1900, 7
+MOST_A_CALL, FIRST_ROC_YEAR = 2000, 104
+
+# The table of fetched pages (name, type), and what leads from a result page to the next.
+CRAWL_RECORDS = [("id", "bigint"), ("case_number", "string"), ("court", "string"), ("case_title", "string"), ("judgment_date", "string"), ("source_url", "string"), ("html_file", "string"), ("keyword", "string"), ("crawled_at", "timestamp"), ("parsed", "int")]
+NEXT_PAGE, NEXT_CLASS, NEXT_PART = "下一頁", "page-next", "nextpage"

@@ -120,6 +120,30 @@ def in_years(year: Column | str, low: int, high: int) -> Column:
     return col(year).isNull() | col(year).between(low, high)
 
 
+def like(x: Column, pattern: str) -> Column:
+    """Whether a text is LIKE '%pattern%': ``%`` stands for any characters, ``_`` for one, nothing escapes them.
+
+    The parts between ``%`` are looked for one behind the other, each where it first stands, so the time goes with the
+    text's length and not, as a backtracking match's, with a power of it."""
+    at: Column = F.when(x.isNotNull(), F.lit(1))
+    for part in filter(None, pattern.split("%")):
+        if "_" in part:
+            regex = "(?s)" + "".join("." if c == "_" else rf"\x{{{ord(c):x}}}" for c in part)
+            found = F.regexp_instr(F.substring(x, at, F.lit(2**31 - 1)), F.lit(regex))
+            at = F.when(found > 0, at + found - 1 + len(part))
+        else:
+            found = F.position(F.lit(part), x, at)
+            at = F.when(found > 0, found + len(part))
+    return at.isNotNull()
+
+
+def like_any(keyword: str, *xs: Column | str) -> Column:
+    """One of the columns is LIKE '%keyword%', ASCII letters in either case."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in keyword)
+    return reduce(lambda a, b: a | b, [like(low(col(x)), want) for x in xs])
+
+
 def contains_any(needle: str, *xs: Column | str, fold: bool = False) -> Column:
     """One of the columns holds the text; fold: ASCII letters in either case."""
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,6 +173,25 @@ def law_appendix(x: Column | str) -> Column:
     return F.when(col(x).rlike(regex), F.substring(strip(F.get(F.split(col(x), regex, 2), F.lit(1))), 1, 3000)).otherwise("")
 
 
+def roc_range(start: Column, end: Column, this_year: Column | int) -> Column:
+    """struct(low, high) of ROC years for days of which one may be null or empty; both null where both are."""
+    low, high = roc_year(F.nullif(start, F.lit(""))), roc_year(F.nullif(end, F.lit("")))
+    some = low.isNotNull() | high.isNotNull()
+    this = F.lit(this_year) if isinstance(this_year, int) else this_year
+    return F.struct(F.when(some, F.coalesce(low, F.lit(fixed.FIRST_ROC_YEAR))).alias("low"), F.when(some, F.coalesce(high, this - 1911)).alias("high"))
+
+
+def iso_day(x: Column | str) -> Column:
+    """YYYY/MM/DD or YYYY-MM-DD as a date, null where it is none."""
+    plain = F.replace(col(x).cast("string"), F.lit("/"), F.lit("-"))
+    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(plain, "yyyy-MM-dd"))
+
+
+def output_name(keyword: Column | str, at: Column | str) -> Column:
+    """The workbook's name for a keyword and a time."""
+    return F.concat(F.lit("judgments_"), col(keyword), F.lit("_"), F.date_format(col(at), "yyyyMMdd_HHmmss"), F.lit(".xlsx"))
+
+
 def roc_year(day: Column | str) -> Column:
     """The leading year of Y/M/D or Y-M-D, less 1911."""
     return F.get(F.split(F.replace(col(day).cast("string"), F.lit("/"), F.lit("-")), "-"), F.lit(0)).try_cast("int") - 1911
