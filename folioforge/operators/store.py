@@ -8,8 +8,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from ..functions import fixed, text
 from .ordered import first_wins
 
 
@@ -19,9 +22,68 @@ def insert_ignore(target: DataFrame, new: DataFrame, key: str, order: list[str])
 
 
 def replace_latest(target: DataFrame, new: DataFrame, key: str, version: list[str]) -> DataFrame:
-    """The target with each key's latest row of both."""
-    both = target.unionByName(new, allowMissingColumns=True)
-    return first_wins(both, [key], [F.col(v).desc() for v in version])
+    """The target, which has one row a key, with each key's latest row of both; of equal versions the new one.
+
+    What is compared is keys and versions alone: the target's rows are not sorted, and a batch that can be broadcast
+    does not shuffle them."""
+    best = first_wins(new, [key], [F.col(v).desc() for v in version])
+    old = target.select(F.col(key).alias("_key"), F.struct(*version).alias("_old"))
+    wins = best.join(old, F.col(key) == F.col("_key"), "left").where(F.col("_old").isNull() | (F.struct(*version) >= F.col("_old"))).drop("_key", "_old")
+    return target.join(wins.select(key), key, "left_anti").unionByName(wins, allowMissingColumns=True)
+
+
+def schema(columns: list[tuple[str, str]]) -> StructType:
+    kinds = {"bigint": LongType(), "int": IntegerType(), "string": StringType(), "timestamp": TimestampType()}
+    return StructType([StructField(name, kinds[kind]) for name, kind in columns])
+
+
+#: The tables of fetched pages and of parsed judgments.
+CRAWL_RECORDS = schema(fixed.CRAWL_RECORDS)
+JUDGMENTS = schema([("id", "bigint"), ("crawl_id", "bigint"), *[(c, "string") for c in fixed.JUDGMENT_FIELDS], ("parsed_at", "timestamp")])
+
+
+def exists(spark: SparkSession, table: str) -> bool:
+    """Whether a snapshot was ever made current; a table that is there and cannot be read is an error."""
+    try:
+        current(spark, table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def create_if_absent(spark: SparkSession, table: str, columns: StructType) -> DataFrame:
+    """The table's current snapshot, an empty one if there was none."""
+    if not exists(spark, table):
+        replace(spark, spark.createDataFrame([], columns), table)
+    return current(spark, table)
+
+
+def count_like(records: DataFrame, keyword: str, column: str = "keyword") -> DataFrame:
+    """n: the records whose column is LIKE the keyword, wildcards and all."""
+    return records.where(text.like_any(keyword, column)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def of_file(records: DataFrame, html_file: Column | str) -> DataFrame:
+    """id of the records of a file."""
+    return records.where(F.col("html_file") == html_file).select("id")
+
+
+def judgments_of(records: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Each record with its judgment, if it has been parsed: both have one row an id."""
+    return records.join(judgments, records["id"] == judgments["crawl_id"], "left")
+
+
+def reset(records: DataFrame) -> DataFrame:
+    """All records as not parsed; a full rebuild parses them into an empty table."""
+    return records.withColumn("parsed", F.lit(0))
+
+
+def mark_parsed(records: DataFrame, judgments: DataFrame) -> DataFrame:
+    """``parsed`` follows from the judgments that are there, so it cannot disagree with them."""
+    done = judgments.select(F.col("crawl_id").alias("_done")).distinct()
+    return records.drop("parsed").join(done, F.col("id") == F.col("_done"), "left").withColumn("parsed", F.col("_done").isNotNull().cast("int")).drop("_done")
 
 
 def mark_recrawled(records: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,13 +45,15 @@ def count_in(chunks: DataFrame, days_counted: DataFrame) -> DataFrame:
     return joined.groupBy("chunk_start", "chunk_end").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"))
 
 
-def adaptive_split(spark: SparkSession, start: date, end: date, counted: Callable[[DataFrame], DataFrame], limit: int, least_days: int = fixed.MIN_SPLIT_DAYS, most_rounds: int = 32) -> DataFrame:
+def adaptive_split(spark: SparkSession, start: date, end: date, counted: Callable[[DataFrame], DataFrame], limit: int, least_days: int = fixed.MIN_SPLIT_DAYS) -> DataFrame:
     """Chunks of [start, end] that are under ``limit`` or cannot be halved: chunk_start, chunk_end, fetched, round.
 
-    One aggregate job a round over all open chunks; the chunks themselves are few (days at most)."""
+    One aggregate job a round over all open chunks; the chunks themselves are few (days at most), and as a chunk of one
+    day is never halved, a year is settled in ten rounds."""
+    least_days = max(least_days, 1)
     open_ = year_chunks(spark.createDataFrame([(start, end)], "start date, end date")).select("chunk_start", "chunk_end")
     done: list[tuple] = []
-    for k in range(most_rounds):
+    for k in count():
         rows = counted(open_).withColumn("_split", (F.col("fetched") >= limit) & (days("chunk_start", "chunk_end") > least_days)).collect()
         done += [(r["chunk_start"], r["chunk_end"], r["fetched"], k) for r in rows if not r["_split"]]
         todo = [(r["chunk_start"], r["chunk_end"]) for r in rows if r["_split"]]
@@ -60,6 +63,21 @@ def adaptive_split(spark: SparkSession, start: date, end: date, counted: Callabl
     return spark.createDataFrame(done, "chunk_start date, chunk_end date, fetched bigint, round int")
 
 
+def batched_plan(chunks: DataFrame, days_counted: DataFrame, target: int, most: int = fixed.MOST_A_CALL, limit: int = fixed.RESULT_LIMIT, least_days: int = fixed.MIN_SPLIT_DAYS) -> DataFrame:
+    """One round over chunks (ord, chunk_start, chunk_end): those begun before the new rows reach the target, each with
+    fetched (at most ``most`` a call, known ones included), new, before (the new rows until then) and verdict.
+
+    ``days_counted``: day, n, fresh (those not known); a row a day.  Chunks whose verdict is split make the next round
+    with :func:`halves`."""
+    hit = (F.col("day") >= F.col("chunk_start")) & (F.col("day") <= F.col("chunk_end"))
+    order = Window.partitionBy("chunk_start", "chunk_end").orderBy(F.desc("day"))
+    upto = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a call reads the newest first, up to its bound; a day that the bound cuts counts its known rows last
+    days_ = chunks.join(F.broadcast(days_counted), hit, "left").withColumn("_room", F.greatest(F.lit(most) - upto, F.lit(0)))
+    got = days_.groupBy("ord", "chunk_start", "chunk_end").agg(F.coalesce(F.sum(F.least("n", "_room")), F.lit(0)).alias("fetched"), F.coalesce(F.sum(F.least("fresh", "_room")), F.lit(0)).alias("new"))
+    return within_budget(got, [F.col("ord")], "new", target).withColumn("verdict", saturation(F.col("fetched"), limit, least_days))
+
+
 def within_budget(chunks: DataFrame, order: list[Column], new: str, target: int) -> DataFrame:
     """Chunks that are begun before the running total of new rows reaches the target; the last may overshoot.
     Chunks are few: planning rows, not data."""
