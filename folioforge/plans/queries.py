@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..operators import judgments, ordered, store
 from ..sources import pages as pages_
-from ..sources.shared import work_folder
+from ..sources.shared import staged, work_folder
 from ..streaming import incremental
 from . import ranges, search
 
@@ -318,7 +318,8 @@ r(cs, ce, round) AS (SELECT cs, ce, 0 FROM y UNION ALL
 SELECT CASE WHEN h = 0 THEN mid + 1 ELSE cs END, CASE WHEN h = 0 THEN ce ELSE mid END, round + 1 FROM (SELECT cs, ce, round, cs + CAST((ce - cs + 1) // 2 - 1 AS INTEGER) AS mid FROM r WHERE ce - cs + 1 > 7 AND (SELECT sum(n) FROM d WHERE day BETWEEN cs AND ce) >= 600), (VALUES (0), (1)) AS v(h))
 SELECT cs AS chunk_start, ce AS chunk_end, CAST(f AS BIGINT) AS fetched, CAST(round AS INTEGER) AS round FROM (SELECT *, (SELECT coalesce(sum(n), 0) FROM d WHERE day BETWEEN cs AND ce) AS f FROM r) WHERE NOT (f >= 600 AND ce - cs + 1 > 7)""")
 def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    # a row a day, counted once: every round reads this in place of the orders
+    days = staged(table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n")))
     b = bounds(spark, sf_dir).first()
     return ranges.adaptive_split(spark, b["start"], b["end"], lambda c: ranges.count_in(c, days), 600)
 
@@ -359,7 +360,8 @@ def count_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replace_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     bought = F.col("event_type") == "purchase"
-    return store.replace_latest(events.where(bought), events.where(~bought), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    target = ordered.last_wins(events.where(bought), ["user_id"], ["ts", "event_id"])
+    return store.replace_latest(target, events.where(~bought), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT c_custkey AS case_number, CASE WHEN o IS NOT NULL THEN 'order-' || CAST(o AS VARCHAR) ELSE c_name END AS html_file, CAST(CASE WHEN o IS NOT NULL THEN 0 ELSE 1 END AS INTEGER) AS parsed FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS o FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -414,7 +416,7 @@ def judgment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<html><head><title>x</title></head><body><div id='jud' class='int-table'><div class='col-th'>裁判字號：</div><div class='col-td'>"), number,
         F.lit("</div><div class='col-th'>裁判日期：</div><div class='col-td'>民國 113 年 5 月 1 日</div><div class='col-th'>裁判案由：</div><div class='col-td'>"), F.col("source"),
         F.lit("</div><div class='jud_content'><div class='htmlcontent'><div class='he-h1 notEdit'>臺灣臺北地方法院民事判決</div><div>原　告　王大明</div><div>訴訟代理人　陳志明律師</div><div>被　告　李小華　住臺北市</div><div>上列當事人間請求返還事件，本院判決如下：</div><div class='notEdit'>主　文</div>"),
-        F.element_at(each, 1), F.lit("<div class='notEdit'>理　由</div>"), F.array_join(F.slice(each, 2, 1_000_000), ""),
+        F.element_at(each, 1), F.lit("<div class='notEdit'>理　由</div>"), F.array_join(F.slice(each, F.lit(2), F.greatest(F.size(each), F.lit(1))), ""),
         F.lit("<div>據上論結，依民法第 148 條、民事訴訟法第 78 條，判決如主文。</div><div>中　華　民　國　113　年　5　月　1　日</div><div>民事第一庭　法　官　張文山</div><div>書記官　林美玉</div></div></div></div></body></html>"),
     )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("crawl_id"), html.alias("html"), F.lit("借名").alias("keyword"))
@@ -431,3 +433,7 @@ def judgment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judgments.parse(judgment_pages(spark, sf_dir))
     shown = ["case_number", "court", "judgment_date", "case_type", "judgment_type", "plaintiff", "plaintiff_agent", "defendant", "party_roles", "judges", "clerk", "applicable_laws"]
     return got.select("crawl_id", *shown, F.md5("verdict").alias("verdict_md5"), F.md5("reasons").alias("reasons_md5"))
+
+
+# the parser's rules, and what else is maintained and planned
+from . import parser_queries, record_queries  # noqa: E402, F401

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge import __main__ as cli
-from folioforge.functions import fixed
+from folioforge.functions import fixed, text
 from folioforge.operators import ordered, store
 from folioforge.plans import ranges, search
 from folioforge.sources import pages, sheets
@@ -170,3 +170,67 @@ def test_command_line(spark, tmp_path):
     assert cli.export(spark, table, str(tmp_path / "o.xlsx"), keyword="k", limit=1)
     assert cli.export(spark, table, f"file://{tmp_path}/csv")
     assert spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/csv").count() == 2
+
+
+def test_like_is_sqls(spark):
+    import re
+
+    texts = ["", "abc", "A%C", "a_c xx", "axxbxxc", "ÉCOLE école", "100% sure", "a\nb", "😀x", None, "aab" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in ("", "a_c", "a%c", "É", "é", "0%", "_", "%", "a__b", "_x", "b%a%b", "B_A", "[a]", "aab%aab_"):
+        want = re.compile(".*".join("".join("." if c == "_" else re.escape(c) for c in p) for p in k.split("%")), re.S)
+        low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+        want = re.compile(low(want.pattern), re.S) if k.isascii() else want
+        got = {r["t"]: r["g"] for r in df.select("t", text.like_any(k, "t").alias("g")).collect()}
+        assert got == {t: t is not None and bool(want.search(low(t))) for t in texts}, k
+
+
+def test_rejects_are_kept_and_tried_again(spark, tmp_path):
+    folder, table = tmp_path / "html", f"file://{tmp_path}/table"
+    folder.mkdir()
+    (folder / "A1判決.html").write_text("<body><p>x</p></body>", encoding="utf-8")
+    (folder / "A2.html").write_bytes(b"<body>\xff\xfe")
+    (folder / "A3.html").write_text("<![odd[x]]>", encoding="utf-8")
+    assert cli.parse(spark, f"file://{folder}", table) == 1
+    assert cli.parse(spark, f"file://{folder}", table) == 0
+    got = [(r["html_file"][-7:], r["reason"]) for r in spark.read.parquet(f"{table}/_rejects").collect()]
+    assert sorted(got)[::2] == sorted(got)[1::2] and {f for f, _ in got} == {"A2.html", "A3.html"} and ("A2.html", "not UTF-8") in got
+    (folder / "A1判決.html").touch()  # fetched again: parsed again, though the table does not grow
+    assert cli.parse(spark, f"file://{folder}", table) == 1 and store.current(spark, table).count() == 1
+    assert cli.parse(spark, f"file://{folder}", table, file=f"file://{folder}/A1判決.html") == 1
+
+
+def test_a_table_that_cannot_be_read_is_an_error(spark, tmp_path):
+    assert not store.exists(spark, f"file://{tmp_path}/none")
+    (tmp_path / "t" / "_current").mkdir(parents=True)
+    (tmp_path / "t" / "_current" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        store.exists(spark, f"file://{tmp_path}/t")
+
+
+def test_run_in_one_go(spark, tmp_path, capsys):
+    folder = tmp_path / "html"
+    folder.mkdir()
+    (folder / "A1判決.html").write_text("<body><div class='htmlcontent'><div>原告 王大明</div><div class='notEdit'>主　文</div><div>" + "准" * 120 + "</div></div></body>", encoding="utf-8")
+    assert cli.main(["--log", str(tmp_path / "log"), "run", "k", f"file://{folder}", f"file://{tmp_path}/t", "--start-year", "2020", "--end-year", "2021", "-o", str(tmp_path / "o.xlsx")]) == 0
+    assert zipfile.is_zipfile(tmp_path / "o.xlsx") and "2021-01-01" in capsys.readouterr().out
+    assert cli.main(["run", "other", f"file://{folder}", f"file://{tmp_path}/t", "-o", str(tmp_path / "p.xlsx")]) == 1  # nothing new, nothing of that keyword
+
+
+def test_rings_of_pages_and_missing_ones(spark):
+    link = lambda u: f"<a title='下一頁' href='{u}'>x</a>" if u else ""
+    data = [("a", "1", link("2")), ("a", "2", link("9")), ("b", "1", link("2")), ("b", "2", link("1")), ("c", "5", ""), (None, "5", "")]
+    got = pages.numbered(spark.createDataFrame(data, "g string, url string, html string"), "g", "url", "html")
+    assert rows(got.where("g is not null")) == [("a", "1", 0), ("a", "2", 1), ("c", "5", 0)]
+
+
+def test_adaptive_split_ends_with_days(spark):
+    got = ranges.adaptive_split(spark, date(2024, 1, 1), date(2024, 12, 31), lambda c: c.withColumn("fetched", F.lit(10**6).cast("bigint")), 10, least_days=0)
+    assert got.count() == 366 and got.where("chunk_start = chunk_end").count() == 366
+
+
+def test_page_files_with_odd_names_and_ends(spark, tmp_path):
+    data = [("臺北 113,訴/1:a", "<p>x</p>\n"), ("100%25 + a=b", ""), ("c" * 40, "a\n\nb 😀")]
+    pages.write_files(spark.createDataFrame(data, "case_number string, html string"), f"file://{tmp_path}/f")
+    got = {(r["html_file"], r["html"], r["bytes"]) for r in pages.read_files(spark, f"file://{tmp_path}/f").collect()}
+    assert got == {("臺北_113_訴_1_a.html", "<p>x</p>\n", 9), ("100%25_+_a=b.html", "", 0), ("c" * 40 + ".html", "a\n\nb 😀", 9)}
