@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import store
 from ..operators.ordered import first_wins
 
 
@@ -30,6 +31,20 @@ def upsert_latest(table: str, key: str, version: str) -> Callable[[DataFrame, in
     return handle
 
 
-def latest(spark: SparkSession, table: str, key: str, version: str) -> DataFrame:
+def compact(spark: SparkSession, table: str, key: str, version: str) -> None:
+    """Make the latest rows of all batches a snapshot, after which :func:`latest` reads it and the batches since.
+
+    Batches stay until they are cleaned; one that is run again writes the same rows, which lose or tie."""
+    upto = spark.read.parquet(table).agg(F.max("batch")).first()[0]
+    store.replace(spark, latest(spark, table, key, version, keep=True).withColumn("_upto", F.lit(upto).cast("bigint")), f"{table}_compact")
+
+
+def latest(spark: SparkSession, table: str, key: str, version: str, keep: bool = False) -> DataFrame:
+    """Each key's latest row, from the last snapshot and the batches after it (their folders alone are read)."""
     rows = spark.read.parquet(table)
-    return first_wins(rows, [key], [F.col(version).desc(), F.col("_batch").desc()]).drop("_batch", "batch")
+    if store.exists(spark, f"{table}_compact"):
+        base = store.current(spark, f"{table}_compact")
+        upto = base.agg(F.max("_upto")).first()[0]
+        rows = rows.where(F.col("batch") > (-1 if upto is None else upto)).drop("batch").unionByName(base.drop("_upto"))
+    got = first_wins(rows, [key], [F.col(version).desc(), F.col("_batch").desc()]).drop("batch")
+    return got if keep else got.drop("_batch")

@@ -155,6 +155,15 @@ def test_stream_sees_files_once(spark, tmp_path):
     incremental.run_available(spark, src, first.schema, check, handle)
     assert seen == [2, 2]
     assert rows(incremental.latest(spark, out, "k", "v")) == [(1, 1), (2, 2), (3, 1)]
+    for _ in range(2):
+        incremental.compact(spark, out, "k", "v")
+        assert rows(incremental.latest(spark, out, "k", "v")) == [(1, 1), (2, 2), (3, 1)]
+    spark.createDataFrame([(3, 5), (4, 1), (2, 1)], "k int, v int").write.mode("append").parquet(src)
+    incremental.run_available(spark, src, first.schema, check, handle)
+    got = incremental.latest(spark, out, "k", "v")
+    assert rows(got) == [(1, 1), (2, 2), (3, 5), (4, 1)]
+    incremental.compact(spark, out, "k", "v")
+    assert rows(incremental.latest(spark, out, "k", "v")) == rows(got)
 
 
 def test_command_line(spark, tmp_path):
