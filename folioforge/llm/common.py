@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="folioforge-")
@@ -36,12 +37,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, as Spark's committer keeps one attempt of every task."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this process staged, and return how many; results that were not written yet need them."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def no_null(df: DataFrame, key: str, text: str):
-    """``key`` and ``text`` alone, a null text as empty; further columns never reach Python."""
+    """``key`` (a long integer, or what is declared for the operator) and ``text`` alone, a null text as empty; further
+    columns never reach Python."""
     from pyspark.sql import functions as F
 
     return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))

@@ -155,9 +155,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
     joined = wide.join(found, F.col(names[k]).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(names[at]).cast("string")) == F.col("_hash")), "left")
     body = F.col(names[at])
     clean = F.when(F.col("_cut").isNotNull(), F.array_join(F.transform(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda c, i: _masked(c, i * CHUNK, F.col("_cut"), mask)), "")).otherwise(body)
-    out = [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
-    out[at] = clean.alias(text)
+    # apart from the renaming: within one select a lambda would take a column of the same new name for its own
+    masked = joined.withColumns({"_clean": clean, "_hit": F.col("_cut").isNotNull()})
+    out = [F.col(n) for n in names]
+    out[at] = F.col("_clean")
     if "n_chars" in docs.columns:
         i = docs.columns.index("n_chars")
-        out[i] = F.when(F.col("_cut").isNotNull(), F.length(clean)).otherwise(F.col(names[i])).cast(docs.schema[i].dataType).alias("n_chars")
-    return joined.select(*out)
+        out[i] = F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col(names[i])).cast(docs.schema[i].dataType)
+    return masked.select(*out).toDF(*docs.columns)

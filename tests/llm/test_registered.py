@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from folioforge.llm import licenses, quality, queries
+from folioforge.llm import common, licenses, quality, queries
 from test_operators import ALNUM, base_spans, classes, contaminated, expected_ids, slow_fingerprint, slow_templates, whole, words
 
 
@@ -197,6 +197,52 @@ def test_pipeline(spark, sf):
     assert {k: b"".join(x for _, x in sorted(v)) for k, v in got.items()} == {k: np.array(expected_ids(t, "byte_bpe_50k.json", 0), "<u4").tobytes() for k, t in masked.items()}
 
 
+@pytest.fixture(scope="module")
+def odd(sf, tmp_path_factory):
+    """The documents with columns that the operators use for themselves, null ids, and every fifth row again."""
+    base = tmp_path_factory.mktemp("odd")
+    texts = dict(sf[1])
+    given = [(k, t) for k, t in sf[1]] + [(k, texts[k]) for k in list(texts)[::5]] + [(None, texts[3] + " no id"), (None, None), (None, "with an id of none " * 30 + "password=abcdef123")]
+    n = len(given)
+    extra = {c: pa.array([c] * n) for c in ("key", "hash", "text_hash", "row", "found", "_cut", "_key", "c0", "spans", "n_words", "kind")}
+    pq.write_table(pa.table({"doc_id": pa.array([k for k, _ in given], pa.int64()), **extra, "text": pa.array([t for _, t in given]), "fp": pa.array(range(n)), "component_id": pa.array(range(n))}), f"{base}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        pq.write_table(pq.read_table(f"{sf[0]}/{name}.parquet"), f"{base}/{name}.parquet")
+    return str(base), given
+
+
+def test_pipeline_of_odd_tables(spark, sf, odd, tmp_path):
+    docs = queries.table(spark, odd[0], "documents")
+    columns, steps = docs.columns, []
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(apply(spark, docs, odd[0]), "odd")
+        assert docs.columns == columns
+        steps.append([(r["doc_id"], r["text"], r["found"]) for r in docs.collect()])
+    rules = quality.learn_rules(queries.table(spark, odd[0], "documents"), queries.table(spark, odd[0], "labels"))
+    verdict = {r["key"]: r["v"] for r in quality.statistics(queries.table(spark, sf[0], "documents")).select("key", quality.verdict(rules).alias("v")).collect()}
+    good = [(k, t) for k, t in odd[1] if (s := stats(t))[0] >= 20 and 100 * s[4] <= 30 * s[0] and (k is None or verdict[k])]
+    assert sorted((k, t) for k, t, _ in steps[0] if k is not None) == sorted((k, t) for k, t in good if k is not None)
+    group = classes([(k, slow_fingerprint(t)) for k, t, _ in steps[0]])
+    assert len(steps[1]) == len({g if g is not None else ("none", slow_fingerprint(t)) for g, (_, t, _) in zip(group, steps[0])})  # one of each group, repeated rows too
+    assert {k for k, _, _ in steps[1] if k is not None} == {g for g in group if g is not None}
+    bad = [h > 0 and 20 * h >= n for _, n, h, _ in contaminated([(i, t) for i, (_, t, _) in enumerate(steps[1])], sf[2])]
+    assert sorted(x[1] for x in steps[2]) == sorted(x[1] for x, b in zip(steps[1], bad) if not b)
+    assert len(steps[3]) == len(steps[2]) and all("password=0a" not in t and "password=abcdef123" not in t for _, t, _ in steps[3])
+    packed = corpus_pipeline.run(spark, odd[0])
+    assert sum(r["length"] for r in packed.collect()) == sum(len(expected_ids(t, "byte_bpe_50k.json", 0)) for _, t, _ in steps[3])
+    # and without any row
+    for name in ("documents", "labels", "benchmark"):
+        pq.write_table(pq.read_table(f"{odd[0]}/{name}.parquet").slice(0, 0), f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_are_cleared(spark):
+    kept = common.stage(spark.range(3), "cleared")
+    assert kept.count() == 3 and common.clear(spark) >= 1 and common.clear(spark) == 0
+    with pytest.raises(Exception):
+        kept.select("id").collect()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     """Null, empty and odd texts in a second engine."""
