@@ -118,6 +118,19 @@ def stubs(records: DataFrame, files: DataFrame, complete: Column) -> DataFrame:
     return joined.where(~F.coalesce("_ok", F.lit(False))).withColumn("reason", F.when(F.col("_ok").isNull(), "missing").otherwise("incomplete")).drop("_ok")
 
 
+def recrawl(records: DataFrame, files: DataFrame, complete: Column, fetched: DataFrame) -> DataFrame:
+    """Records after a new fetch (case_number, html_file, crawled_at, html) of those whose page was missing or incomplete:
+    where the new page is complete it takes the old one's place and waits to be parsed; everything else is as it was."""
+    again = stubs(records, files, complete).select("case_number")
+    better = fetched.withColumn("_ok", complete).where("_ok").drop("_ok").join(again, "case_number", "left_semi")
+    return mark_recrawled(records, better)
+
+
+def to_retry(rejects: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """key, attempts of what was rejected fewer than ``most`` times: it is tried again, the rest is given up."""
+    return rejects.groupBy(key).agg(F.count(F.lit(1)).alias("attempts")).where(F.col("attempts") < most)
+
+
 def replace(spark: SparkSession, snapshot: DataFrame, table: str) -> str:
     """Write a snapshot under ``table`` and make it current; the one before stays until it is cleaned."""
     name = uuid.uuid4().hex

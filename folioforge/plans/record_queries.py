@@ -142,6 +142,23 @@ def late_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.latest(spark, f"{at}/out", "user_id", "event_id")
 
 
+@query("""WITH r AS (SELECT doc_id, doc_id % 5 AS m, n_chars >= 300 AS long FROM documents)
+SELECT doc_id AS case_number, CASE WHEN m < 3 AND NOT (m = 0 AND long) AND long THEN 'new-' ELSE 'old-' END || CAST(doc_id AS VARCHAR) AS html_file, CAST(CASE WHEN m < 3 AND NOT (m = 0 AND long) AND long THEN 0 ELSE 1 END AS INTEGER) AS parsed FROM r""")
+def recrawled_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of five documents have no new page; of the others' old pages one in three is whole, where the text is long enough."""
+    docs = table(spark, sf_dir, "documents").withColumn("m", F.col("doc_id") % 5)
+    name = lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string"))
+    records = docs.select(F.col("doc_id").alias("case_number"), F.lit("https://example.org/").alias("source_url"), name("old-").alias("html_file"), F.lit(0).alias("crawled_at"), F.lit(1).alias("parsed"))
+    files = docs.where("m <> 1").select(name("old-").alias("html_file"), F.when(F.col("m") == 0, F.concat("text", F.lit("</html>"))).otherwise("").alias("html"))
+    fetched = docs.where("m < 3").select(F.col("doc_id").alias("case_number"), name("new-").alias("html_file"), F.lit(1).alias("crawled_at"), F.concat("text", F.lit("</html>")).alias("html"))
+    return store.recrawl(records, files, text.page_is_complete("html", 307, ("</html>",)), fetched).select("case_number", "html_file", "parsed")
+
+
+@query("SELECT user_id, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) < 14")
+def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.to_retry(table(spark, sf_dir, "events").where("event_type = 'error'"), "user_id", 14)
+
+
 # -- plans ------------------------------------------------------------------------------------------
 
 
