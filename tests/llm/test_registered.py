@@ -256,3 +256,28 @@ def test_sql(spark, sf, name):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     want = con.sql(f"select {', '.join(cols)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=key) == sorted(want, key=key)
+
+
+TABLES = "/root/testdata"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(f"{TABLES}/sf0.1"), reason="no test tables")
+def test_the_model_beats_the_unigram_on_held_out_text(spark):
+    from pyspark.sql import functions as F
+
+    got = queries.op8_lm_scoring(spark, f"{TABLES}/sf0.1").where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert got["s"] > 0.96 * got["b"] > got["b"]  # both are negative: log10 of probabilities
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(f"{TABLES}/sf0.01"), reason="no test tables")
+def test_no_link_of_the_tables_is_lost(spark):
+    """Every document whose id is divisible by 20 against all: fingerprints within four bits are in one component."""
+    rows_ = queries.op4_simhash(spark, f"{TABLES}/sf0.01").collect()
+    fp = np.array([int(r["fingerprint"], 16) for r in rows_], np.uint64)
+    group, met = [r["component_id"] for r in rows_], 0
+    for i, r in enumerate(rows_):
+        if r["doc_id"] % 20 == 0:
+            near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4)
+            met += len(near) - 1
+            assert {group[j] for j in near.tolist()} == {group[i]}
+    assert met > 0
