@@ -561,6 +561,17 @@ def test_redaction_by_brute_force(spark):
         assert r["text"] == out + t[at:]
 
 
+def test_secrets_in_a_very_long_text(spark):
+    text = "wörds and 😀 more of them, " * 120_000
+    ends = ["password=abcdef12", "AKIA" + "Q" * 20, "0f" * 20]
+    text = " ".join(x + " " + text for x in ends) + "user_id=robot7 " + "Ab1" * 20
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    for r in secrets.spans(docs).collect():
+        assert sorted((s[0], s[1], s[2]) for s in r["spans"] if s[1] < 3) == base_spans(text) and {s[1] for s in r["spans"]} == {0, 1, 2, 3, 4}
+    clean = {r["text"] for r in secrets.redact(docs).collect()}
+    assert len(clean) == 1 and len(clean := clean.pop()) == len(text) + 5 * 10 - sum(map(len, ends)) - 14 - 60 and not any(x in clean for x in ends)
+
+
 def test_a_secret_of_ten_thousand_characters(spark):
     run = "Ab1" * 3334
     docs = spark.createDataFrame([(1, f"client_id=robot7 {run}."), (2, "api_key=" + "q" * 10_000), (3, "AKIA" + "9" * 10_000), (4, "0f" * 5000)], "doc_id long, text string")
