@@ -53,7 +53,7 @@ END = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 16
 #: From so many messages a block on, they are merged in a tree.
 FAN = 16
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 2_000_000
 #: What squared gradients sum up to, on average, when a later round begins.
 BEGUN = 16.0
 
@@ -158,25 +158,28 @@ class Model:
                 out[at : at + STEP] += x[i, c] - np.log(np.exp(x) @ _ONES)
         return out
 
-    def train(self, f: np.ndarray, cls: np.ndarray, state: list[np.ndarray], step: int = STEP) -> None:
+    def train(self, f: np.ndarray, cls: np.ndarray, state: list[np.ndarray]) -> None:
         """Adaptive gradient steps on batches of tokens; state: the sums of squared gradients."""
-        for at in range(0, f.shape[1], step):
-            for level, g, prior, c in self.factors(f[:, at : at + step], cls[at : at + step]):
+        for at in range(0, f.shape[1], STEP):
+            for level, g, prior, c in self.factors(f[:, at : at + STEP], cls[at : at + STEP]):
                 w, s = self.w[level], state[level]
                 p = _logits(w, g, prior)
                 np.exp(p, out=p)
                 p /= (p @ _ONES)[:, None]
                 p[np.arange(len(c)), c] -= 1
                 # a row's gradient is the sum over all features of the batch that share it, one outcome at a time
-                rows, columns = np.concatenate(g), p.T.astype(float)
-                sums = np.empty((C, len(w)), np.float32)
+                rows, columns, touched = np.concatenate(g), p.T.astype(float), slice(None)
+                if len(rows) < len(w):  # of a large table, the rows that the batch touches alone
+                    touched, rows = np.unique(rows, return_inverse=True)
+                many = len(w) if isinstance(touched, slice) else len(touched)
+                sums = np.empty((C, many), np.float32)
                 for k in range(C):
-                    sums[k] = np.bincount(rows, np.tile(columns[k], len(g)), len(w))
+                    sums[k] = np.bincount(rows, np.tile(columns[k], len(g)), many)
                 grad = np.ascontiguousarray(sums.T)
-                s += grad * grad
+                s[touched] += grad * grad
                 grad *= RATE
-                grad /= np.sqrt(s + 1.0)
-                w -= grad
+                grad /= np.sqrt(s[touched] + 1.0)
+                w[touched] -= grad
 
 
 COUNTS = "h bigint, cls int, c bigint"
@@ -275,7 +278,7 @@ def train(src: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Model:
             state, seen = [np.full(x.shape, begun, np.float32) for x in start], 0
             for part in pieces(batches, most=1 << 20):
                 h, cls, off = tokens(part.column("text"))
-                m.train(features(h, cls, off), cls, state, max(STEP, len(start[0])))
+                m.train(features(h, cls, off), cls, state)
                 seen += len(h)
             if seen:  # changes weighted by tokens, as they are averaged
                 change = np.concatenate([(a - b) * np.float32(seen) for a, b in zip(m.w, start)]).astype("<f4", copy=False).reshape(blocks, -1)
